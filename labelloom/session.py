@@ -77,3 +77,9 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """
     stored = cut_lineage(df)
     return F.broadcast(stored) if stored.count() <= limit else stored
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores before costly per-row work, if the input comes in fewer splits than cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
