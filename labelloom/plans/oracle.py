@@ -188,7 +188,7 @@ def _mangle() -> str:
     s3 AS (SELECT doc_id, array_to_string({replaced}, '') AS line FROM s2),
     s4 AS (SELECT *, string_split(line, ' ') AS parts FROM s3),
     s5 AS (SELECT doc_id, CASE WHEN {u(42, 'doc_id', "'upper'")} < 0.2::DOUBLE THEN array_to_string(list_transform(parts,
-      lambda w, i: CASE WHEN i - 1 = CAST(floor({u(42, 'doc_id', "'which'")} * len(parts)) AS BIGINT) THEN upper(w) ELSE w END), ' ')
+      lambda w, i: CASE WHEN i - 1 = CAST(floor({u(42, 'doc_id', "'which'")} * len(parts)) AS BIGINT) THEN upper(replace(w, 'ß', 'SS')) ELSE w END), ' ')
       ELSE line END AS mangled FROM s4)
     SELECT doc_id, md5(mangled) AS mangled_md5, length(mangled)::BIGINT AS n_chars FROM s5"""
 
