@@ -1,0 +1,44 @@
+"""Every registered query against its SQL, and the ones without SQL by what must hold."""
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+SQL = entry.oracle_sql()
+
+
+@pytest.fixture(scope="module")
+def db(sf_dir):
+    con = duckdb.connect()
+    for name in TABLES.split():
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    return con
+
+
+def test_sql_belongs_to_queries():
+    assert set(SQL) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_equals_sql(spark, sf_dir, db, name):
+    df = entry.queries()[name](spark, sf_dir)
+    names = sorted(df.columns)
+    result = db.execute(SQL[name])
+    assert sorted(d[0] for d in result.description) == names
+    expected = db.execute(f"SELECT {', '.join(names)} FROM ({SQL[name]})").fetchall()
+    got = [tuple(r) for r in df.select(*names).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+
+
+def test_entry(spark, sf_dir):
+    assert entry.entry(spark).count() > 0
+
+
+def test_vectors_without_sql(spark, sf_dir):
+    q = entry.queries()
+    sizes = {r["label"]: r["count"] for r in q["diverse_demos"](spark, sf_dir).groupBy("label").count().collect()}
+    assert len(sizes) == 10 and all(0 < n <= 10 for n in sizes.values())
+    scored = q["predict_confidence"](spark, sf_dir)
+    assert scored.count() == 500 and scored.where("confidence < 0.1 or confidence > 1").count() == 0

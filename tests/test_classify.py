@@ -1,0 +1,104 @@
+import pytest
+from pyspark.sql import functions as F
+
+from labelloom.operators import classify as C
+from labelloom.operators import metrics as M
+
+LABELS = ["fruit", "tool", "unused"]
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    """Two separable classes, one row in eleven mislabelled whatever its text."""
+    fruit = F.array(*[F.lit(x) for x in ("apple pear", "plum fig", "kiwi apple", "lime plum")])
+    tool = F.array(*[F.lit(x) for x in ("saw drill", "hammer file", "drill vice", "saw plane")])
+    is_fruit = F.col("id") % 2 == 0
+    text = F.concat_ws(" ", F.get(F.when(is_fruit, fruit).otherwise(tool), (F.col("id") % 4).cast("int")),
+                       F.get(F.when(is_fruit, fruit).otherwise(tool), (F.col("id") % 3).cast("int")), F.lit("the and of"))
+    truth = F.when(is_fruit, F.lit("fruit")).otherwise(F.lit("tool"))
+    wrong = F.when(is_fruit, F.lit("tool")).otherwise(F.lit("fruit"))
+    return spark.range(240).select(
+        "id", text.alias("text"), F.when(F.col("id") % 11 == 0, wrong).otherwise(truth).alias("label"), truth.alias("truth")
+    )
+
+
+@pytest.fixture(scope="module")
+def trained(rows):
+    validation = rows.select("id", "text", F.col("truth").alias("label"))
+    return C.train_robust(rows.drop("truth"), LABELS, validation, stages=3)
+
+
+def test_noisy_labels_do_not_fool_the_model(rows, trained):
+    model, stats = trained
+    assert model.evaluate(rows.select("id", "text", F.col("truth").alias("label"))) == 1.0
+    assert len(stats.objectives) == 3 and stats.validation_accuracies[-1] == 1.0
+    flagged = stats.samples.join(rows.select("id", "truth"), "id")
+    assert flagged.where("label = truth").where("not clean").count() == 0
+    assert flagged.where("label != truth").where("clean").count() == 0
+
+
+def test_losses_are_kept_per_stage(trained):
+    _, stats = trained
+    means = {r["stage"]: r["avg_loss"] for r in M.mean_loss_per_stage(stats.losses).collect()}
+    assert sorted(means) == [0, 1, 2] and all(v > 0 for v in means.values())
+    history = M.loss_history(stats.losses).collect()
+    assert len(history) == 240 and all(len(r["losses"]) == 3 for r in history)
+
+
+def test_saved_model_predicts_the_same(rows, trained, tmp_path):
+    model, _ = trained
+    path = str(tmp_path / "model")
+    model.save(path)
+    loaded = C.Classifier.load(path)
+    assert loaded.labels == LABELS
+
+    def predictions(m):
+        return {r["id"]: (r["predicted_label"], r["confidence"]) for r in m.predict(rows.select("id", "text")).collect()}
+
+    assert predictions(loaded) == predictions(model)
+    r = loaded.probabilities(rows.limit(1)).first()
+    assert len(r["probability"]) == 3 and sum(r["probability"]) == pytest.approx(1.0)
+
+
+def test_own_confidence_and_loss_agree(rows, trained):
+    model, _ = trained
+    both = model.own_confidence(rows).join(model.losses(rows).select("id", "loss"), "id")
+    assert both.agg(F.max(F.abs(F.exp(-F.col("loss")) - F.col("confidence")))).first()[0] < 1e-9
+
+
+def test_edges(spark, rows, trained):
+    model, _ = trained
+    assert model.evaluate(rows.drop("truth").limit(0)) == 0.0
+    assert model.predict(rows.limit(0)).count() == 0
+    with pytest.raises(Exception, match="unknown label"):
+        model.losses(rows.withColumn("label", F.lit("other"))).collect()
+    with pytest.raises(ValueError):
+        C.train_robust(rows.drop("truth").limit(0), LABELS)
+    with pytest.raises(ValueError):
+        C.train_robust(rows.drop("truth"), LABELS, stages=0)
+
+
+def test_vectors_instead_of_texts(spark):
+    points = spark.range(60).select(
+        "id", F.array((F.col("id") % 2).cast("float"), F.lit(1.0).cast("float")).alias("embedding"), F.when(F.col("id") % 2 == 0, "fruit").otherwise("tool").alias("label")
+    )
+    model, stats = C.train_robust(points, LABELS, points, stages=3)
+    assert stats.validation_accuracies == [1.0, 1.0, 1.0]
+
+
+def test_max_length_keeps_the_first_tokens(spark):
+    rows = spark.createDataFrame([(1, "a b c d"), (2, "a b x y"), (3, "")], "id long, text string")
+    got = {r["id"]: list(r["embedding"]) for r in C.embed(rows, C.text_encoder(64, max_length=2)).collect()}
+    whole = {r["id"]: list(r["embedding"]) for r in C.embed(rows, C.text_encoder(64)).collect()}
+    assert got[1] == got[2] and whole[1] != whole[2]
+    assert sum(got[1]) == pytest.approx(1.0) and sum(whole[3]) == 0
+
+
+def test_metrics(spark):
+    rows = spark.createDataFrame([(1, "a", "a", "x" * 150), (2, "a", "b", "y"), (3, "b", None, "z")], "id long, label string, predicted_label string, text string")
+    assert M.accuracy(rows).first().asDict() == {"total": 3, "correct": 1, "accuracy": pytest.approx(1 / 3)}
+    assert M.accuracy(rows.limit(0)).first()["accuracy"] == 0.0
+    report = M.prediction_report(rows, n=2).collect()
+    assert [r["mark"] for r in report] == ["✓", "✗"] and report[0]["preview"] == "x" * 100 + "..."
+    rounds = spark.createDataFrame([(1, 0.5), (2, 0.6), (3, 0.604), (4, 0.55)], "round int, val_accuracy double")
+    assert [r["stop"] for r in M.with_gain(rounds).orderBy("round").collect()] == [False, False, True, True]

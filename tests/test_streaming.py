@@ -1,0 +1,29 @@
+import json
+
+from labelloom.session import new_run_dir
+from labelloom.sources.cache import ResponseCache
+from labelloom.streaming.replies import store_replies, watch_replies
+
+
+def test_arriving_replies_reach_the_cache_once(spark, tmp_path):
+    folder = tmp_path / "replies"
+    folder.mkdir()
+    requests = spark.createDataFrame([("q0", "k0", "a"), ("q1", "k1", "b"), ("q2", "k2", "c")], "custom_id string, hash_key string, text string")
+    cache = ResponseCache(spark, new_run_dir(spark, "cache"))
+    rejects, checkpoint = str(tmp_path / "rejects"), str(tmp_path / "checkpoint")
+
+    def drop(name, *rows):
+        (folder / name).write_text("\n".join(json.dumps(dict(zip(("custom_id", "status", "response"), r))) for r in rows))
+
+    def run():
+        store_replies(watch_replies(spark, str(folder), 1), requests, cache, "m", rejects, checkpoint).awaitTermination()
+
+    drop("1.json", ("q0", "succeeded", "x,1"), ("q9", "succeeded", "stray"))
+    drop("2.json", ("q1", "errored", None))
+    run()
+    assert {r["question"]: r["response"] for r in cache.read().collect()} == {"a": "x,1"}
+    drop("3.json", ("q2", "succeeded", "y,0.5"))
+    run()
+    assert {r["question"]: r["response"] for r in cache.read().collect()} == {"a": "x,1", "c": "y,0.5"}
+    assert [r["custom_id"] for r in spark.read.parquet(rejects).collect()] == ["q1"]
+    assert cache.writes().count() == 2
