@@ -113,17 +113,19 @@ def mixture(points: str) -> str:
         return f"(ln({w}) - 0.5::DOUBLE * ln(2 * pi() * {v}) - (x - {m}) * (x - {m}) / (2 * {v}))"
 
     return f"""
-span AS (SELECT min(x) AS low, max(x) AS high, sum(n)::BIGINT AS total FROM {points}),
+mean AS (SELECT min(x) AS low, max(x) AS high, sum(n)::BIGINT AS total, sum(n * x) / sum(n) AS mu FROM {points}),
+span AS (SELECT any_value(low) AS low, any_value(high) AS high, any_value(total) AS total,
+  1e-4::DOUBLE * sum(n * (x - mu) * (x - mu)) / any_value(total) AS settled FROM {points}, mean),
 means AS (
-  SELECT 0 AS it, (low + high) / 2 AS cut, -1::BIGINT AS below, false AS done FROM span
+  SELECT 0 AS it, low AS c0, high AS c1, settled, false AS done FROM span
   UNION ALL
-  SELECT s.it + 1, CASE WHEN s.n0 = s.below THEN s.cut ELSE (s.s0 / s.n0 + s.s1 / s.n1) / 2 END, s.n0, s.n0 = s.below
-  FROM (SELECT any_value(m.it) AS it, any_value(m.cut) AS cut, any_value(m.below) AS below,
-      sum(CASE WHEN x <= m.cut THEN n ELSE 0 END)::BIGINT AS n0, sum(CASE WHEN x <= m.cut THEN n * x ELSE 0 END) AS s0,
-      sum(CASE WHEN x <= m.cut THEN 0 ELSE n END)::BIGINT AS n1, sum(CASE WHEN x <= m.cut THEN 0 ELSE n * x END) AS s1
-    FROM {points}, means m WHERE NOT m.done AND m.it < 100 HAVING count(*) > 0) s
+  SELECT it + 1, m0, m1, settled, (m0 - c0) * (m0 - c0) + (m1 - c1) * (m1 - c1) <= settled
+  FROM (SELECT any_value(it) AS it, any_value(c0) AS c0, any_value(c1) AS c1, any_value(settled) AS settled,
+      sum(n * x) FILTER (x <= (c0 + c1) / 2) / sum(n) FILTER (x <= (c0 + c1) / 2) AS m0,
+      sum(n * x) FILTER (x > (c0 + c1) / 2) / sum(n) FILTER (x > (c0 + c1) / 2) AS m1
+    FROM {points}, means WHERE NOT done AND it < 100 HAVING count(*) > 0) s
 ),
-start AS (SELECT cut FROM means ORDER BY it DESC LIMIT 1),
+start AS (SELECT (c0 + c1) / 2 AS cut FROM means ORDER BY it DESC LIMIT 1),
 em AS (
   SELECT 0 AS it, any_value(total) AS total, NULL::DOUBLE AS ll, false AS done,
     (sum(n) FILTER (x <= cut) / any_value(total))::DOUBLE AS w0, sum(n * x) FILTER (x <= cut) / sum(n) FILTER (x <= cut) AS m0,
