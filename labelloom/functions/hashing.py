@@ -33,13 +33,17 @@ def beta_draw(seed: int, row_id: Column, alpha: int) -> Column:
 
 
 def cache_key(question: Column, model: str | Column) -> Column:
-    """SHA-256 of ``question:model``, the key of a cached reply."""
-    return F.sha2(F.concat(question, F.lit(":"), _text(model)), 256)
+    """SHA-256 of ``question:model``, the key of a cached reply (a null question counts as empty).
+
+    Like :func:`text_key` it is never null: a join on it then needs no not-null filter, which
+    would hash every text a second time.
+    """
+    return F.sha2(F.concat(F.coalesce(question, F.lit("")), F.lit(":"), F.coalesce(_text(model), F.lit(""))), 256)
 
 
 def text_key(text: Column) -> Column:
     """Join key standing for a whole text (256 bits, so equal keys mean equal texts)."""
-    return F.sha2(text, 256)
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
 POSITION_PRIME = 2**31 - 1

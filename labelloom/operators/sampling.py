@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from labelloom.functions.hashing import order_key
 from labelloom.session import cut_lineage, small_side
 
-HISTOGRAM_DIGITS = 4  # 65,536 cells of the order key per class
+# 4,096 cells of the order key per class: a task's partial counts stay well below its rows, and the
+# one cell to be ranked holds a 4,096th of its class.
+HISTOGRAM_DIGITS = 3
 
 
 def class_sizes(df: DataFrame, label: str = "label") -> DataFrame:

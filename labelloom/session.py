@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Largest pool of demonstrations that is turned into one prompt or one file.
+POOL_ROW_LIMIT = 10_000
 # Largest lookup side, in rows, that is ever sent to every executor.
 BROADCAST_ROW_LIMIT = 100_000
 
@@ -79,6 +81,13 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     return F.broadcast(stored) if stored.count() <= limit else stored
 
 
+def check_pool(df: DataFrame, limit: int = POOL_ROW_LIMIT) -> DataFrame:
+    """``df`` unchanged; an error if it is too large to be gathered into one row."""
+    if df.limit(limit + 1).count() > limit:
+        raise ValueError(f"a pool of demonstrations holds at most {limit} rows")
+    return df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores before costly per-row work, if the input comes in fewer splits than cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -1,0 +1,36 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from labelloom.operators.annotate import build_prompt
+from labelloom.plans.tables import label_table, predict_table
+
+
+def test_table_in_table_out(spark, tmp_path):
+    kinds = ["apple", "plum", "kiwi", "saw", "drill", "file"]
+    rows = [(i, kinds[i % 6], float(i % 5), None if i % 3 else "", "fruit" if i % 6 < 3 else "tool") for i in range(90)]
+    table = spark.createDataFrame(rows, "k int, name string, size double, note string, truth string")
+    demos = tmp_path / "demos.json"
+    demos.write_text(json.dumps([["name: apple plum kiwi", "fruit"], ["name: saw drill file", "tool"]]))
+    annotated, run = label_table(
+        table, "k", str(demos), ["fruit", "tool"], "Sort them.", label_column="truth",
+        output_csv=str(tmp_path / "annotated"), max_rounds=1, stages=1, demos_per_class=3,
+    )
+    assert annotated.columns == ["k", "name", "size", "note", "truth", "annotated_label"]
+    assert annotated.count() == 90 and annotated.where("annotated_label = truth").count() >= 80
+    assert run.final_accuracy >= 0.9
+    assert spark.read.csv(str(tmp_path / "annotated"), header=True).count() == 90
+
+    fresh = table.drop("truth").where("k < 30")
+    predicted = predict_table(run.model_path, fresh, "k", output_csv=str(tmp_path / "predicted"))
+    assert predicted.columns == ["k", "name", "size", "note", "predicted_label", "confidence"]
+    both = predicted.join(table.select("k", "truth"), "k")
+    assert both.where(F.col("predicted_label") == F.col("truth")).count() >= 27
+    assert spark.read.csv(str(tmp_path / "predicted"), header=True).count() == 30
+
+
+def test_pools_are_bounded(spark):
+    many = spark.range(10_001).select("id", F.lit("t").alias("text"), F.lit("a").alias("label"))
+    with pytest.raises(ValueError):
+        build_prompt(many, ["a"], "x")
