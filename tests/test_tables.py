@@ -14,7 +14,7 @@ def test_table_in_table_out(spark, tmp_path):
     demos = tmp_path / "demos.json"
     demos.write_text(json.dumps([["name: apple plum kiwi", "fruit"], ["name: saw drill file", "tool"]]))
     annotated, run = label_table(
-        table, "k", str(demos), ["fruit", "tool"], "Sort them.", label_column="truth",
+        table, "k", str(demos), ["fruit", "tool"], "Sort them.", ["size", "name"], label_column="truth",
         output_csv=str(tmp_path / "annotated"), max_rounds=1, stages=1, demos_per_class=3,
     )
     assert annotated.columns == ["k", "name", "size", "note", "truth", "annotated_label"]
@@ -23,7 +23,7 @@ def test_table_in_table_out(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "annotated"), header=True).count() == 90
 
     fresh = table.drop("truth").where("k < 30")
-    predicted = predict_table(run.model_path, fresh, "k", output_csv=str(tmp_path / "predicted"))
+    predicted = predict_table(run.model_path, fresh, "k", ["size", "name"], output_csv=str(tmp_path / "predicted"))
     assert predicted.columns == ["k", "name", "size", "note", "predicted_label", "confidence"]
     both = predicted.join(table.select("k", "truth"), "k")
     assert both.where(F.col("predicted_label") == F.col("truth")).count() >= 27
