@@ -397,8 +397,8 @@ def q_clean_diverse_demos(spark, sf_dir):
     """Loss mixture over all vectors, clean ones kept, medoids of each class among them."""
     rows = vectors(spark, sf_dir)
     loss = cross_entropy(softmax(logits(rows)), F.col("y"))
-    clean = noise.keep_clean(rows.withColumn("loss", loss))
-    return diversity.select_diverse(clean.drop("y", "loss"), 5).select(F.col("id").alias("vec_id"), "label")
+    chosen = diversity.select_diverse_clean(rows.withColumn("loss", loss).drop("y"), 5)
+    return chosen.select(F.col("id").alias("vec_id"), "label")
 
 
 # Losses, mixture, augmentation
