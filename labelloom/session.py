@@ -89,6 +89,10 @@ def check_pool(df: DataFrame, limit: int = POOL_ROW_LIMIT) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores before costly per-row work, if the input comes in fewer splits than cores."""
+    """Rows over all cores before costly per-row work, if the input comes in fewer splits than cores.
+
+    For scans and what is computed row by row on them: counting the splits of a plan with a
+    shuffle would run that shuffle.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

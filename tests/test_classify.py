@@ -78,6 +78,13 @@ def test_edges(spark, rows, trained):
         C.train_robust(rows.drop("truth"), LABELS, stages=0)
 
 
+def test_text_model_ignores_a_stray_embedding(rows, trained):
+    model, _ = trained
+    plain = model.predict(rows.select("id", "text"))
+    extra = model.predict(rows.select("id", "text", F.array(F.lit(1.0)).alias("embedding")))
+    assert plain.join(extra.select("id", F.col("confidence").alias("c")), "id").where("confidence != c").count() == 0
+
+
 def test_vectors_instead_of_texts(spark):
     points = spark.range(60).select(
         "id", F.array((F.col("id") % 2).cast("float"), F.lit(1.0).cast("float")).alias("embedding"), F.when(F.col("id") % 2 == 0, "fruit").otherwise("tool").alias("label")
