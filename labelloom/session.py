@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,19 +31,15 @@ def get_session(app_name: str = "labelloom", master: str | None = None, **conf:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
+    """Folder every executor can reach: ``spark.checkpoint.dir``, which a cluster names.
 
-    Only a local master, where driver and executors are one process, may fall back to a
-    temporary folder; a cluster without the setting is an error.
+    Where it is unset, as in tests, it is a folder below the SQL warehouse.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="labelloom-")
-        sc.setCheckpointDir(folder)
-    elif sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/labelloom-runs"
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder
 
