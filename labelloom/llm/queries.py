@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import crc_mod, table
-from labelloom.llm import decontaminate, lang_id, mixing, ngram_join, token_store
+from labelloom.llm import decontaminate, lang_id, mixing, ngram_join, suffix_arrays, suffix_automata, token_store
 
 
 def tokenizer_file() -> str:
@@ -24,6 +24,15 @@ def q_op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix_block", "mix_epoch", "mix_rank")
 
 
+def _span_total() -> Column:
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
+
+
+def q_op2_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_automata.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", _span_total().alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def q_op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_near(table(spark, sf_dir, "documents"))
 
@@ -49,6 +58,17 @@ def q_op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_op8_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_arrays.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        _span_total().alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def q_op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_store.checksums(token_store.token_store(docs, tokenizer_file()))
