@@ -52,7 +52,7 @@ class Letters:
         return find_words(points, offsets, self.table[points])
 
 
-def _values(points: np.ndarray) -> np.ndarray:
+def code_values(points: np.ndarray) -> np.ndarray:
     return mix(points.astype(U) + U(1))
 
 
@@ -86,7 +86,7 @@ class Model:
         n, k = len(words.first) - 1, len(self.languages)
         if not k or not len(words.starts):
             return [UNKNOWN] * n, np.zeros(n)
-        values = _values(words.data)
+        values = code_values(words.data)
         hashes, order = np.unique(span_hashes(values, words.starts, words.ends, powers), return_inverse=True)
         votes = np.zeros((len(hashes), k))
         row = self.look_up(0, hashes)
@@ -124,7 +124,7 @@ def _counts(rows: DataFrame) -> DataFrame:
                 texts = batch.column(1).filter(pa.array([x == lang for x in langs]))
                 for start, stop in common.text_slices(texts):
                     words = letters.words(texts.slice(start, stop - start))
-                    values = _values(words.data)
+                    values = code_values(words.data)
                     for length in (0, *LENGTHS):
                         if length:
                             hashes = ngrams(words, length, powers, values)[0]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import crc_mod, table
-from labelloom.llm import decontaminate, lang_id, mixing, ngram_join, suffix_arrays, suffix_automata, token_store
+from labelloom.llm import decontaminate, lang_id, mixing, ngram_join, suffix_arrays, suffix_automata, token_store, topk, toxicity
 
 
 def tokenizer_file() -> str:
@@ -37,6 +37,14 @@ def q_op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_near(table(spark, sf_dir, "documents"))
 
 
+def q_op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 3) == 1
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = toxicity.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def q_op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_mod("doc_id", 4) == 2
@@ -45,6 +53,10 @@ def q_op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def q_op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def q_op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_overlaps(docs, table(spark, sf_dir, "benchmark"))

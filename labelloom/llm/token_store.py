@@ -36,10 +36,12 @@ ORC_OPTIONS = {
 }
 SCHEMA = "doc_id bigint, shard int, shard_start bigint, n_tokens bigint, ids array<int>"
 
-# A space between two printable characters always begins a piece of the byte-level split, so
-# texts may be cut there and the parts encoded on their own.
+# A space or line feed between two printable characters always begins a piece of the byte-level
+# split, so texts may be cut there and the parts encoded on their own. Parts after a line feed
+# are marked by a zero character.
 _CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
-_CACHE_PARTS = 300_000
+_WHOLE = re.compile(r"\0?[!-~\w](?:[!-~\w\n]*[!-~\w])?")
+_CACHE_PARTS = 800_000
 
 
 class Encoder:
@@ -53,40 +55,72 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_parts = '"ByteLevel"' in (self.tokenizer.pre_tokenizer.__getstate__().decode() if self.tokenizer.pre_tokenizer else "")
+        split = self.tokenizer.pre_tokenizer
+        self.by_parts = split is not None and b'"ByteLevel"' in split.__getstate__()
         words = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(words.values(), default=0) + 1, bool)
-        self.opens[[i for w, i in words.items() if w.startswith("Ġ")]] = True
+        self.opens[[i for w, i in words.items() if w[:1] in "ĠĊ"]] = True
         self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _learn(self, parts: list[str]) -> None:
-        """Ids of parts that follow a space, many per call; a part opens with the only ids that hold a space."""
+        """Ids of whole parts, many per call; a part opens with the only id that holds a space or line feed."""
         for at in range(0, len(parts), 500):
             some = parts[at : at + 500]
-            ids = self.ids("".join([" " + p for p in some]))
-            cuts = np.flatnonzero(self.opens[ids]) if len(ids) else np.zeros(0, np.int64)
-            if len(cuts) == len(some):
-                data, cuts = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-                self.known.update((p, data[a:b]) for p, a, b in zip(some, cuts, cuts[1:], strict=False))
-            else:
-                self.known.update((p, self.ids(" " + p).tobytes()) for p in some)
+            ids = self.ids("".join([" " + p if p[0] != "\0" else "\n" + p[1:] for p in some]))
+            cuts = np.flatnonzero(self.opens[ids])
+            if len(cuts) != len(some):
+                raise ValueError("a part of a text has an inner opening")
+            data, cuts = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+            self.known.update((p, data[a:b]) for p, a, b in zip(some, cuts, cuts[1:], strict=False))
+
+    def _tail(self, part: str) -> bytes | None:
+        """Ids of a known word with a mark after it, which is a piece of its own."""
+        word, mark = part[:-1], part[-1]
+        if mark not in ".,;:!?" or word not in self.known or not word.isalpha() or max(word) > "\u024f":
+            return None
+        if mark not in self.marks:
+            self.marks[mark] = self.ids(mark).tobytes()
+        return self.known[word] + self.marks[mark]
+
+    def _uneven(self, text: str) -> bytes:
+        """A text with other white space than single spaces and line feeds between printable characters."""
+        first, *parts = _CUT.split(text)
+        return self.ids(first).tobytes() + b"".join([self.ids(" " + p).tobytes() for p in parts])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without an end id."""
         if not self.by_parts:
             return [self.ids(t or "").tobytes() for t in texts]
-        cut = [_CUT.split(t or "") for t in texts]
         if len(self.known) > _CACHE_PARTS:
             self.known = {}
-        new = {p for parts in cut for p in parts[1:] if p not in self.known}
-        plain = [p for p in new if " " not in p]
+        cut = [(t or "").replace("\n", " \0").split(" ") for t in texts]
+        uneven = ["\0" in t if t else False for t in texts]
+        new = set().union(*[set(parts[1:]).difference(self.known) for parts in cut])
+        odd = {p for p in new if not _WHOLE.fullmatch(p) or "\n" in p}
+        tails = []
+        plain = []
+        for p in new - odd:
+            (tails if p[-1] in ".,;:!?" and p[:-1].isalpha() else plain).append(p)
         self._learn(plain)
-        self.known.update((p, self.ids(" " + p).tobytes()) for p in new if " " in p)
-        get = self.known.__getitem__
-        return [self.ids(parts[0]).tobytes() + b"".join(map(get, parts[1:])) for parts in cut]
+        left = []
+        for p in tails:
+            ids = self._tail(p)
+            if ids is None:
+                left.append(p)
+            else:
+                self.known[p] = ids
+        self._learn(left)
+        get, out = self.known.__getitem__, []
+        for text, parts, zero in zip(texts, cut, uneven, strict=True):
+            if zero or (odd and not odd.isdisjoint(parts[1:])) or (len(parts) > 1 and not _WHOLE.fullmatch(parts[0])):
+                out.append(self._uneven(text or ""))
+            else:
+                out.append(self.ids(parts[0]).tobytes() + b"".join(map(get, parts[1:])))
+        return out
 
 
 def encode_shards(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
@@ -134,7 +168,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """
     rows = spark.read.schema(SCHEMA).orc(path)
     sizes = rows.groupBy("shard").agg(F.sum("n_tokens").alias("size"))
-    places = _running(sizes)
+    # One row per file of FILE_BYTES of text: small enough for every task.
+    places = F.broadcast(_running(sizes))
     return rows.join(places, "shard").select(
         "doc_id", (F.col("shard_before") + F.col("shard_start")).alias("start"), "n_tokens", "ids"
     )
