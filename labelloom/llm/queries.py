@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import crc_mod, table
-from labelloom.llm import decontaminate, lang_id, mixing, ngram_join, suffix_arrays, suffix_automata, token_store, topk, toxicity
+from labelloom.llm import decontaminate, html_text, lang_id, mixing, ngram_join, suffix_arrays, suffix_automata, token_store, topk, toxicity
 
 
 def tokenizer_file() -> str:
@@ -81,6 +81,10 @@ def q_op8_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "text")
+
+
 def q_op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_store.checksums(token_store.token_store(docs, tokenizer_file()))

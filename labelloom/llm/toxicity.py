@@ -6,8 +6,8 @@ the risk is ``p·E+[l(f)] + max(0, Eu[l(-f)] − p·E+[l(-f)])``: the unlabelled
 positives it holds, is the risk of the negatives, and is kept from going below zero. Where it
 does, its gradient is followed upwards.
 
-Features are the words of a text in lower case and their beginnings of four and five letters, each
-counted once. Each classifier screens its sample for features that are commoner among the positives (or the rest)
+Features are the words of a text in lower case and their beginnings of four to seven letters: whether one
+occurs, occurs several times, makes up a share of the words. Each classifier screens its sample for features that are commoner among the positives (or the rest)
 than chance explains and fits a linear function of them in numpy. Several classifiers are fitted, each by one task on its
 own part of a sample of at most about ``sample_rows`` positives and as many unlabelled documents, chosen by a
 hash of the id; the score is their mean.
@@ -30,12 +30,14 @@ from labelloom.llm.words import Powers, span_hashes
 
 U = np.uint64
 #: Lengths of word beginnings that are features; 0 is the whole word.
-BEGINNINGS = (0, 4, 5)
+BEGINNINGS = (0, 4, 5, 6, 7)
+#: A feature that occurs so many times, or makes up such a share of the words, is a feature more.
+TIMES, SHARES = (2, 4), (0.005, 0.02)
 _SIEVE = 20
 
 
 def features(column: pa.Array, letters: Letters, powers: Powers, wanted: np.ndarray | None = None):
-    """Text number and hash of each distinct feature of each text; only of ``wanted`` (a sieve) if given."""
+    """Text number and hash of each feature of each text; only of those in ``wanted`` (a sieve) if given."""
     words = letters.words(column)
     values, text_of = code_values(words.data), words.text_of()
     texts, hashes = [], []
@@ -54,7 +56,16 @@ def features(column: pa.Array, letters: Letters, powers: Powers, wanted: np.ndar
     text, found = text[order], found[order]
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (found[1:] != found[:-1])
-    return text[new], found[new]
+    heads = np.flatnonzero(new)
+    times = np.diff(np.append(heads, len(text)))
+    text, found = text[heads], found[heads]
+    n_words = words.per_text()[text]
+    texts, hashes = [text], [found]
+    # The kind goes into the low bits: the sieve looks at the high ones.
+    for kind, more in enumerate([times >= t for t in TIMES] + [times >= s * n_words for s in SHARES], 1):
+        texts.append(text[more])
+        hashes.append(found[more] + U(kind))
+    return np.concatenate(texts), np.concatenate(hashes)
 
 
 def screen(column: np.ndarray, positive: np.ndarray, sizes: tuple[int, int], most: int) -> np.ndarray:
