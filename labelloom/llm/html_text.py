@@ -52,7 +52,7 @@ ENDS = {
     "a": ({"a"}, BLOCKS),
 }
 #: Elements nested deeper than this are not opened; their text belongs to the one they are in.
-DEPTH = 512
+DEPTH = 200
 FENCES = {"table", "td", "th", "caption", "html"}
 
 _TOKEN = re.compile(
