@@ -34,11 +34,14 @@ def mark_quota(
 ) -> DataFrame:
     """Flag, in each class, the ``quota(class size)`` rows that come first in seeded random order.
 
+    Rows without a class are left out here, and so by all that is drawn per class.
+
     1. Count rows per class and per cell of the order key (partial sums before the shuffle).
     2. Running totals over the cells give the one cell per class where the quota is reached.
     3. Rank only that cell's rows; the key at the quota is the class's cut.
     4. One pass over ``df`` compares each row's key with its class's cut: no shuffle of ``df``.
     """
+    df = df.where(F.col(label).isNotNull())
     keyed = df.select(label, F.col(row_id), order_key(seed, F.col(row_id)).alias("_key"))
     cell = F.substring("_key", 1, HISTOGRAM_DIGITS)
     cells = keyed.groupBy(label, cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
@@ -64,9 +67,9 @@ def mark_quota(
 
 
 def cap_per_class(df: DataFrame, max_samples: int | None, label: str = "label", row_id: str = "id", seed: int = 42) -> DataFrame:
-    """At most ``max_samples`` rows of each class, drawn without replacement (``None`` keeps all)."""
+    """At most ``max_samples`` rows of each class, drawn without replacement (``None``: all rows that have a class)."""
     if max_samples is None:
-        return df
+        return df.where(F.col(label).isNotNull())
     marked = mark_quota(df, label, row_id, seed, lambda n: F.least(n, F.lit(max_samples)))
     return marked.where("within").drop("within")
 
@@ -103,7 +106,7 @@ def most_confident_per_class(
     df: DataFrame, k: int, score: str = "confidence", label: str = "label", row_id: str = "id"
 ) -> DataFrame:
     """``k`` rows of each class with the highest probability of their own label, as (id, label, score, rank)."""
-    narrow = df.select(label, row_id, score)
+    narrow = df.where(F.col(label).isNotNull()).select(label, row_id, score)
     return top_k_per_group(narrow, label, [F.col(score).desc(), F.col(row_id)], k)
 
 

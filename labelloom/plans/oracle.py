@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
-from labelloom.operators.annotate import EXAMPLES_HEADER, system_prompt
-from labelloom.plans.catalog import LABELS, LOGITS, MODEL, VARIANTS
+from labelloom.plans.catalog import LABELS, MODEL, VARIANTS
+
+SYSTEM = (
+    "You are a text classifier for labels: english, french, german, spanish. When I send you a text to classify, respond "
+    "only with the label and confidence score separated by a comma. For example: \"english,0.95\". Don''t include any "
+    "other text in your response."
+)
+TASK_BEFORE, TASK_AFTER = (
+    "Name the language of the text.",
+    "I will send you texts to classify. For each text, respond with only the label and a confidence score (between 0 and 1) "
+    "separated by a comma. No other text or explanation",
+)
+FORMAT_RULE = "For example, if you think a text is english with 95% confidence, respond with exactly: english,0.95"
 
 
 def u(seed: int, *parts: str) -> str:
@@ -80,29 +91,83 @@ REPLIED = f"{DOCS}, replied AS (SELECT doc_id, label, {reply('doc_id', 'label')}
 RANKED = f"ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {{key}}) AS r, count(*) OVER (PARTITION BY label) AS n FROM {{source}})"
 QUOTA = "CAST(floor(0.2::DOUBLE * n + 0.5::DOUBLE) AS BIGINT)"
 
-CACHE = f"""{DOCS},
-written AS (SELECT doc_id, sha256(text || ':{MODEL}') AS hash_key,
-  CASE WHEN {u(2, 'doc_id')} < 0.1 THEN '' ELSE {reply('doc_id', 'label')} END AS response
-  FROM docs WHERE {u(1, 'doc_id')} < 0.6),
-cached AS (SELECT hash_key, response FROM written QUALIFY row_number() OVER (PARTITION BY hash_key ORDER BY doc_id DESC) = 1),
-usable AS (SELECT * FROM cached WHERE length(response) > 0),
-lookup AS (SELECT d.doc_id, d.hash_key, c.response FROM
-  (SELECT doc_id, sha256(text || ':{MODEL}') AS hash_key FROM docs) d LEFT JOIN usable c USING (hash_key))"""
 REQUESTS = f"""{DOCS},
 uniq AS (SELECT text, min(doc_id) AS id FROM docs GROUP BY text),
 requests AS (SELECT 'q' || (row_number() OVER (ORDER BY id) - 1) AS custom_id,
   CAST(floor((row_number() OVER (ORDER BY id) - 1) / 100) AS BIGINT) AS batch, text FROM uniq)"""
+# A part-filled cache; the rest is asked for, and some requests fail or stay away.
+JOB = f"""{DOCS},
+written AS (SELECT doc_id, text, CASE WHEN {u(2, 'doc_id')} < 0.1 THEN '' ELSE {reply('doc_id', 'label')} END AS response
+  FROM docs WHERE {u(1, 'doc_id')} < 0.6),
+cached AS (SELECT text, response FROM written QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id DESC) = 1),
+usable AS (SELECT * FROM cached WHERE length(response) > 0),
+uniq AS (SELECT text, min(doc_id) AS id, arg_min(label, doc_id) AS label FROM docs GROUP BY text),
+asked AS (SELECT *, 'q' || (row_number() OVER (ORDER BY id) - 1) AS custom_id FROM uniq ANTI JOIN usable USING (text)),
+outcomes AS (SELECT *, CASE WHEN {u(5, 'custom_id')} < 0.05 THEN 'missing'
+  WHEN {u(4, 'custom_id')} < 0.1 THEN 'errored' ELSE 'succeeded' END AS status FROM asked),
+known AS (SELECT text, {reply('id', 'label')} AS response, false AS cached FROM outcomes WHERE status = 'succeeded'
+  UNION ALL SELECT text, response, true FROM usable),
+answered AS (SELECT doc_id, text, cached, response FROM docs JOIN known USING (text))"""
 ANNOTATED = f"""{DOCS},
 annotated AS (SELECT sha256(text) AS text_hash, label FROM docs WHERE doc_id IN (SELECT doc_id FROM labels)
   QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id DESC, label DESC) = 1)"""
 
+
+
+def squared(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+# Logits: negative squared distances to the classes' means.
 EXPONENTS = f"""v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
-tops AS (SELECT *, list_max(e[1:{LOGITS}]) AS top, list_max(e[{LOGITS + 1}:{2 * LOGITS}]) AS top2 FROM v),
-exps AS (SELECT *, list_transform(e[1:{LOGITS}], lambda x: exp(x - top)) AS ex FROM tops),
+parts AS (SELECT label, unnest(e) AS x, unnest(range(len(e))) AS i FROM v),
+means_by_place AS (SELECT label, i, avg(x) AS x FROM parts GROUP BY label, i),
+class_means AS (SELECT label AS c, list(x ORDER BY i) AS m FROM means_by_place GROUP BY label),
+away AS (SELECT vec_id, list(d ORDER BY c) AS away FROM (SELECT vec_id, c, {squared('e', 'm')} AS d FROM v, class_means) GROUP BY vec_id),
+logits AS (SELECT v.*, list_transform(away, lambda d: -d) AS g, list_transform(away, lambda d: -sqrt(d)) AS far FROM v JOIN away USING (vec_id)),
+tops AS (SELECT *, list_max(g) AS top, list_max(far) AS top2 FROM logits),
+exps AS (SELECT *, list_transform(g, lambda x: exp(x - top)) AS ex FROM tops),
 probs AS (SELECT *, list_transform(ex, lambda x: x / list_sum(ex)) AS p FROM exps),
 losses AS (SELECT *, -ln(greatest(p[label + 1], 1e-15::DOUBLE)) AS loss FROM probs)"""
 
 
+def medoids_per_class(points: str, k: int, steps: int = 10, seed: int = 42) -> str:
+    """CTEs over ``points`` (vec_id, label, e) ending in ``chosen`` (vec_id, label): classes of up to ``k`` rows whole,
+    else the members nearest to ``k`` centres, which start far apart and move to their members' means."""
+    far = [
+        f"""sized AS (SELECT *, count(*) OVER (PARTITION BY label) AS size FROM {points}), big AS (SELECT * FROM sized WHERE size > {k}),
+      pool AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {key(seed, 'vec_id')}, vec_id) AS o FROM big
+        QUALIFY row_number() OVER (PARTITION BY label ORDER BY {key(seed, 'vec_id')}, vec_id) <= {4 * k}),
+      f0 AS (SELECT label, e AS c FROM pool WHERE o = 1),
+      n0 AS (SELECT pool.*, {squared('e', 'c')} AS d FROM pool JOIN f0 USING (label))"""
+    ]
+    for t in range(1, k):
+        far.append(
+            f"""f{t} AS (SELECT label, arg_max(e, {{'d': d, 'o': -o}}) AS c FROM n{t - 1} GROUP BY label HAVING max(d) > 0),
+      n{t} AS (SELECT n{t - 1}.* REPLACE (least(d, coalesce({squared('e', 'c')}, d)) AS d) FROM n{t - 1} LEFT JOIN f{t} USING (label))"""
+        )
+    centres = " UNION ALL ".join(f"SELECT label, {t} AS j, c FROM f{t}" for t in range(k))
+    far.append(f"g0 AS MATERIALIZED ({centres})")
+
+    def near(g: str) -> str:
+        return f"""SELECT vec_id, label, any_value(e) AS e, arg_min(j, {{'d': d, 'i': j}}) AS j, min(d) AS d
+        FROM (SELECT vec_id, big.label, e, j, {squared('e', 'c')} AS d FROM big JOIN {g} USING (label)) GROUP BY vec_id, label"""
+
+    for i in range(steps):
+        far.append(
+            f"""a{i} AS ({near(f'g{i}')}),
+      p{i} AS (SELECT label, j, i, avg(x) AS x FROM (SELECT label, j, unnest(e) AS x, unnest(range(len(e))) AS i FROM a{i}) GROUP BY ALL),
+      m{i} AS (SELECT label, j, list(x ORDER BY i) AS m FROM p{i} GROUP BY label, j),
+      g{i + 1} AS MATERIALIZED (SELECT label, j, coalesce(m, c) AS c FROM g{i} LEFT JOIN m{i} USING (label, j))"""
+        )
+    far.append(
+        f"""last AS ({near(f'g{steps}')}),
+      chosen AS (SELECT arg_min(vec_id, {{'d': d, 'i': vec_id}}) AS vec_id, label FROM last GROUP BY label, j
+        UNION ALL SELECT vec_id, label FROM sized WHERE size <= {k})"""
+    )
+    return ",\n".join(far)
+
+
 def mixture(points: str) -> str:
     """CTEs of the fit over ``points`` (x, n): two-means by iteration, then EM; ``fit`` has the result.
 
@@ -199,10 +264,11 @@ def statements() -> dict[str, str]:
     sql: dict[str, str] = {}
     shown = """concat_ws(', ', {key}CASE WHEN s <> '' THEN 'o_orderstatus: ' || s END,
       CASE WHEN o_totalprice IS NOT NULL THEN 'o_totalprice: ' || CAST(o_totalprice AS VARCHAR) END,
+      'o_orderdate: ' || CAST(o_orderdate AS VARCHAR),
       CASE WHEN p <> '' THEN 'o_orderpriority: ' || p END)"""
     sql["row_as_text"] = f"""WITH o AS (SELECT *, nullif(o_orderstatus, 'P') AS s,
       CASE WHEN o_orderpriority = '5-LOW' THEN '' ELSE o_orderpriority END AS p FROM orders)
-      SELECT o_orderkey, {shown.format(key="'o_orderkey: ' || o_orderkey, ")} AS row_text,
+      SELECT o_orderkey, {shown.format(key="'o_orderkey: ' || o_orderkey, 'o_custkey: ' || o_custkey, ")} AS row_text,
       'o_orderstatus: ' || coalesce(s, 'nan') || ', o_totalprice: ' || coalesce(CAST(o_totalprice AS VARCHAR), 'nan')
         || ', o_orderpriority: ' || coalesce(p, 'nan') AS full_text FROM o"""
     sql["response_parse"] = f"WITH {REPLIED} SELECT doc_id, response, raw_label, confidence FROM scored"
@@ -225,29 +291,28 @@ def statements() -> dict[str, str]:
       md5(array_to_string(words[1:512], ' ')) AS kept_md5 FROM w"""
 
     sql["cache_key"] = f"SELECT doc_id, sha256(text || ':{MODEL}') AS hash_key FROM documents"
-    sql["cache_split"] = f"WITH {CACHE} SELECT doc_id, response IS NOT NULL AS hit, response FROM lookup"
-    sql["cache_counters"] = f"""WITH {CACHE}, per AS (SELECT hash_key, max(CASE WHEN response IS NULL THEN 0 ELSE 1 END) AS hit
-      FROM lookup GROUP BY hash_key) SELECT count(*) FILTER (hit = 1) AS hits, count(*) FILTER (hit = 0) AS misses,
-      CAST(ceil(count(*) FILTER (hit = 0) / 100.0::DOUBLE) AS BIGINT) AS batches FROM per"""
-    sql["cache_upsert"] = f"""WITH t AS (SELECT role || ' ' || (conv_id % 50) AS question, conv_id || '/' || turn AS response,
+    sql["cache_split"] = f"""WITH {JOB}, hits AS (SELECT doc_id, response FROM answered WHERE cached), {reading('hits')}
+      SELECT doc_id, scored.doc_id IS NOT NULL AS hit, raw_label FROM docs LEFT JOIN scored USING (doc_id)"""
+    sql["cache_counters"] = f"""WITH {JOB} SELECT (SELECT count(*) FROM uniq) AS texts, (SELECT count(*) FROM uniq) - count(*) AS cached,
+      count(*) AS asked, CAST(ceil(count(*) / 100.0::DOUBLE) AS BIGINT) AS batches FROM asked"""
+    sql["cache_upsert"] = f"""WITH t AS (SELECT role || ' ' || (conv_id % 50) AS question, text AS response,
       conv_id * 100 + turn AS ts, CASE WHEN {u(3, 'conv_id')} >= 0.5 THEN 1 ELSE 0 END AS late FROM conversations)
       SELECT sha256(question || ':{MODEL}') AS hash_key, question, response, '{MODEL}' AS model, ts AS timestamp FROM t
       QUALIFY row_number() OVER (PARTITION BY question ORDER BY late DESC, ts DESC) = 1"""
     sql["annotate_requests"] = f"""WITH {REQUESTS} SELECT custom_id, batch, sha256(text || ':{MODEL}') AS hash_key,
       md5('Example: ' || text) AS content_md5, '{MODEL}' AS model, 1024 AS max_tokens FROM requests"""
-    sql["reply_outcomes"] = f"""WITH {REQUESTS} SELECT batch, CASE WHEN {u(5, 'custom_id')} < 0.05 THEN 'missing'
-      WHEN {u(4, 'custom_id')} < 0.1 THEN 'errored' ELSE 'succeeded' END AS status, count(*) AS n FROM requests GROUP BY ALL"""
+    sql["reply_outcomes"] = f"WITH {JOB} SELECT custom_id, status, md5(text) AS text_md5 FROM outcomes WHERE status <> 'succeeded'"
     demos = f"""{DOCS}, demos AS (SELECT * FROM docs QUALIFY row_number() OVER (PARTITION BY label ORDER BY {key(42, 'doc_id')}) <= 3),
       placed AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM demos)"""
-    system = system_prompt(LABELS).replace("'", "''")
-    sql["prompt_block"] = f"""WITH {demos} SELECT '{system}' AS system, '{EXAMPLES_HEADER}' || string_agg('Example ' || i || ':' || chr(10)
-      || 'Text: "' || text || '"' || chr(10) || 'Correct Label: "' || label || '"' || chr(10) || chr(10), '' ORDER BY i) AS examples
+    block = """'Here are some examples:' || chr(10) || chr(10) || string_agg('Example ' || i || ':' || chr(10)
+      || 'Text: "' || text || '"' || chr(10) || 'Correct Label: "' || label || '"' || chr(10) || chr(10), '' ORDER BY i)"""
+    sql["prompt_block"] = f"WITH {demos} SELECT '{SYSTEM}' AS system, {block} AS examples FROM placed"
+    sql["task_prompt"] = f"""WITH {demos} SELECT count(*) AS n, chr(10) || chr(10) || '{TASK_BEFORE}' || chr(10) || chr(10)
+      || 'Here are some examples:' || chr(10) || chr(10) || {block} || chr(10) || chr(10) || '{TASK_AFTER}' || chr(10) || '{FORMAT_RULE}' AS task
       FROM placed"""
     sql["demonstrations_roundtrip"] = f"WITH {demos} SELECT i - 1 AS position, md5(text) AS text_md5, label FROM placed"
-    sql["annotation_job"] = f"""WITH {DOCS}, firsts AS (SELECT text, min(doc_id) AS id, arg_min(label, doc_id) AS label FROM docs GROUP BY text),
-      answers AS (SELECT text, {reply('id', 'label')} AS response FROM firsts),
-      asked AS (SELECT doc_id, text, response FROM docs JOIN answers USING (text)), {reading('asked')}
-      SELECT doc_id, md5(text) AS text_md5, raw_label, matched_label, confidence, confidence_score FROM scored"""
+    sql["annotation_job"] = f"""WITH {JOB}, {reading('answered')}
+      SELECT doc_id, md5(text) AS text_md5, cached, raw_label, matched_label, confidence, confidence_score FROM scored"""
     sql["annotation_last_wins"] = "SELECT user_id, arg_max(event_type, event_id) AS label FROM events GROUP BY user_id"
     sql["pending_texts"] = f"""WITH {ANNOTATED} SELECT doc_id, sha256(text) AS text_hash FROM docs
       WHERE sha256(text) NOT IN (SELECT text_hash FROM annotated)"""
@@ -258,11 +323,11 @@ def statements() -> dict[str, str]:
     sql["class_cap"] = f"WITH {DOCS}, {by_doc} SELECT doc_id, label FROM ranked WHERE r <= 100"
     sql["stratified_split"] = f"""WITH {DOCS}, {by_doc} SELECT doc_id, label,
       CASE WHEN r <= {QUOTA} THEN 'validation' ELSE 'train' END AS part FROM ranked"""
-    sql["corpus_load"] = f"""WITH two AS (SELECT doc_id, CASE lang WHEN 'fr' THEN 'negative' ELSE 'positive' END AS label
+    sql["corpus_load"] = f"""WITH two AS (SELECT doc_id, text, CASE lang WHEN 'fr' THEN 'negative' ELSE 'positive' END AS label
         FROM documents WHERE lang IN ('fr', 'en')),
       capped AS (SELECT * FROM two QUALIFY row_number() OVER (PARTITION BY label ORDER BY {key(42, 'doc_id')}) <= 120),
       {RANKED.format(key=key(42, 'doc_id'), source='capped')}
-      SELECT doc_id, label, CASE WHEN r <= {QUOTA} THEN 'validation' ELSE 'train' END AS part FROM ranked"""
+      SELECT doc_id, text, label, CASE WHEN r <= {QUOTA} THEN 'validation' ELSE 'train' END AS part FROM ranked"""
     sql["random_k"] = f"WITH {DOCS}, {RANKED.format(key=key(7, 'doc_id'), source='docs')} SELECT doc_id, label FROM ranked WHERE r <= 5"
     sql["confident_k"] = f"""WITH {EXPONENTS}, best AS (SELECT CAST(label AS VARCHAR) AS label, vec_id, p[label + 1] AS c,
       CAST(row_number() OVER (PARTITION BY label ORDER BY p[label + 1] DESC, vec_id) AS INTEGER) AS rank FROM probs)
@@ -286,7 +351,7 @@ def statements() -> dict[str, str]:
       near AS (SELECT vec_id, label, CAST(arg_min(j, {{'d': d, 'i': j}}) AS INTEGER) AS cluster, min(d) AS d
         FROM (SELECT vec_id, v.label, j, {dist('e', 'c')} AS d FROM v JOIN starts s ON v.label = s.label) GROUP BY vec_id, label)
       SELECT label, cluster, arg_min(vec_id, {{'d': d, 'i': vec_id}}) AS vec_id, round(min(d), 6) AS distance
-      FROM near WHERE d > 0 GROUP BY label, cluster"""
+      FROM near GROUP BY label, cluster"""
     sql["nearest_demo_annotate"] = f"""WITH {starts.format(key=key(5, 'vec_id'), k=3)},
       per AS (SELECT vec_id, s.label, min({dist('e', 'c')}) AS d FROM v, starts s GROUP BY vec_id, s.label),
       ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, label) AS r,
@@ -297,8 +362,7 @@ def statements() -> dict[str, str]:
     sql["loss_softmax"] = f"""WITH {EXPONENTS} SELECT vec_id, CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS predicted,
       CAST(list_position(p, list_min(p)) - 1 AS INTEGER) AS least, round(list_max(p), 6) AS confidence, round(loss, 6) AS loss FROM losses"""
     sql["soft_ce_kl"] = f"""WITH {EXPONENTS},
-      s AS (SELECT *, list_transform(e[{LOGITS + 1}:{2 * LOGITS}], lambda x: x - top2
-        - ln(list_sum(list_transform(e[{LOGITS + 1}:{2 * LOGITS}], lambda y: exp(y - top2))))) AS ls FROM probs)
+      s AS (SELECT *, list_transform(far, lambda x: x - top2 - ln(list_sum(list_transform(far, lambda y: exp(y - top2))))) AS ls FROM probs)
       SELECT vec_id, round(list_sum(list_transform(list_zip(p, ls), lambda z: -z[1] * z[2])), 6) AS soft_ce,
       round(list_sum(list_transform(list_zip(p, ls), lambda z: z[1] * (ln(z[1]) - z[2]))), 6) AS kl,
       round({dist('e[1:32]', 'e[33:64]')}, 6) AS halves FROM s"""
@@ -310,6 +374,26 @@ def statements() -> dict[str, str]:
       SELECT CAST(label AS VARCHAR) AS label, count(*) AS n, count(*) FILTER ({POSTERIOR} >= 0.7) AS n_clean,
       round(avg({POSTERIOR}), 6) AS avg_prob, round(any_value(mc), 6) AS clean_mean, round(any_value(mn), 6) AS noisy_mean
       FROM losses, fit GROUP BY label"""
+    named = "named AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, embedding::DOUBLE[] AS e FROM embeddings)"
+    sql["diverse_demos"] = f"WITH {named}, {medoids_per_class('named', 10)} SELECT vec_id, label FROM chosen"
+    sql["clean_diverse_demos"] = f"""WITH RECURSIVE {EXPONENTS}, points AS (SELECT loss AS x, count(*) AS n FROM losses GROUP BY loss),
+      {mixture('points')}, clean AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, e FROM losses, fit WHERE {POSTERIOR} >= 0.7),
+      {medoids_per_class('clean', 5)} SELECT vec_id, label FROM chosen"""
+    by_vector = f"row_number() OVER (PARTITION BY label ORDER BY {key(42, 'vec_id')})"
+    sql["examples_by_strategy"] = f"""WITH {named}, {medoids_per_class('named', 5)},
+      picked AS (SELECT 'diverse' AS strategy, vec_id, label FROM chosen
+        UNION ALL SELECT 'random', vec_id, label FROM named QUALIFY {by_vector} <= 5)
+      SELECT strategy, label, count(*) AS n, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) AS vec_ids, true AS holds
+      FROM picked GROUP BY strategy, label
+      UNION ALL SELECT 'confident', label, least(5, count(*)), NULL, true FROM named GROUP BY label"""
+    sql["predict_confidence"] = "SELECT vec_id, CAST(label AS VARCHAR) AS label, true AS is_argmax, true AS in_range FROM embeddings"
+    by_label = RANKED.format(key=key(42, "doc_id"), source="docs")
+    sql["robust_train_eval"] = f"""WITH {DOCS}, {by_label}, train AS (SELECT count(*) AS n FROM ranked WHERE r > {QUOTA})
+      SELECT CAST(stage AS INTEGER) AS stage, n, n AS finite, true AS converged, true AS accurate, true AS flags_right
+      FROM train, (SELECT unnest(range(3)) AS stage)"""
+    sql["label_loop"] = f"""WITH {DOCS}, {by_label}, train AS (SELECT count(DISTINCT text) AS n FROM ranked WHERE r > {QUOTA})
+      SELECT n AS least_annotated, n AS most_annotated, 40::BIGINT AS least_pool, 40::BIGINT AS most_pool, true AS rounds_in_range,
+      true AS near_supervised FROM train"""
     sql["clean_lookup"] = f"WITH {DOCS} SELECT doc_id, label FROM docs WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)"
 
     sql["word_drop"] = f"""WITH w AS (SELECT doc_id, text, {WORDS} AS words, {draws(42, 'doc_id', 'drop')} AS c FROM documents),

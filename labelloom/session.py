@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest pool of demonstrations that is turned into one prompt or one file.
-POOL_ROW_LIMIT = 10_000
-# Largest lookup side, in rows, that is ever sent to every executor.
-BROADCAST_ROW_LIMIT = 100_000
+# Largest pool of demonstrations, in bytes, that is turned into one prompt or one file.
+POOL_BYTES = 16 << 20
+# Most that is sent to every task in the closure of a function, in bytes.
+CLOSURE_BYTES = 32 << 20
 
 
 def get_session(app_name: str = "labelloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -66,20 +66,17 @@ def store_table(df: DataFrame, path: str | None = None, *partition_by: str) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """``df`` for the lookup side of a join, with a broadcast hint only if it is small enough.
-
-    The table is materialised first, so the check counts stored rows and the join does not
-    repeat the work. Above the limit it is returned without a hint and Spark shuffles the join.
-    """
-    stored = cut_lineage(df)
-    return F.broadcast(stored) if stored.count() <= limit else stored
+def small_side(df: DataFrame) -> DataFrame:
+    """``df`` stored, for the lookup side of a join: Spark knows its bytes, and broadcasts or shuffles by them."""
+    return store_table(df)
 
 
-def check_pool(df: DataFrame, limit: int = POOL_ROW_LIMIT) -> DataFrame:
-    """``df`` unchanged; an error if it is too large to be gathered into one row."""
-    if df.limit(limit + 1).count() > limit:
-        raise ValueError(f"a pool of demonstrations holds at most {limit} rows")
+def check_pool(df: DataFrame, limit: int = POOL_BYTES) -> DataFrame:
+    """``df`` unchanged; an error if its strings are too large to be gathered into one row."""
+    strings = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    size = df.agg(F.sum(sum(strings, F.lit(16)))).first()[0] or 0
+    if size > limit:
+        raise ValueError(f"a pool of demonstrations holds at most {limit} bytes, this one {size}")
     return df
 
 
