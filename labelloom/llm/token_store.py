@@ -11,6 +11,7 @@ text; null ids come first; other columns of the input are not read; an empty tab
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -41,7 +42,7 @@ SCHEMA = "doc_id bigint, shard int, shard_start bigint, n_tokens bigint, ids arr
 # are marked by a zero character.
 _CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 _WHOLE = re.compile(r"\0?[!-~\w](?:[!-~\w\n]*[!-~\w])?")
-_CACHE_PARTS = 800_000
+_CACHE_PARTS = 400_000
 
 
 class Encoder:
@@ -54,6 +55,7 @@ class Encoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         split = self.tokenizer.pre_tokenizer
         self.by_parts = split is not None and b'"ByteLevel"' in split.__getstate__()
@@ -68,9 +70,10 @@ class Encoder:
 
     def _learn(self, parts: list[str]) -> None:
         """Ids of whole parts, many per call; a part opens with the only id that holds a space or line feed."""
-        for at in range(0, len(parts), 500):
-            some = parts[at : at + 500]
-            ids = self.ids("".join([" " + p if p[0] != "\0" else "\n" + p[1:] for p in some]))
+        groups = [parts[at : at + 100] for at in range(0, len(parts), 100)]
+        texts = ["".join([" " + p if p[0] != "\0" else "\n" + p[1:] for p in some]) for some in groups]
+        for some, found in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint32)
             cuts = np.flatnonzero(self.opens[ids])
             if len(cuts) != len(some):
                 raise ValueError("a part of a text has an inner opening")
@@ -135,8 +138,8 @@ def encode_shards(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", te
         shard, start, encoder = TaskContext.get().partitionId(), 0, Encoder(tokenizer)
         end = np.array([end_id], np.uint32).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
                 ids = [x + end for x in encoder.encode(part.column(1).to_pylist())]
                 counts = np.array([len(x) // 4 for x in ids], np.int64)
                 offsets = np.concatenate(([0], np.cumsum(counts)))
