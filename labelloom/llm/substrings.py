@@ -35,10 +35,10 @@ U = np.uint64
 _STEP = U(0xC2B2AE3D27D4EB4F)
 _MOST = U(0xFFFFFFFFFFFFFFFF)
 #: Text of one chunk and, roughly, of one shard, in bytes.
-CHUNK_BYTES = 12 << 20
-SHARD_BYTES = 8 << 20
+CHUNK_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Elements looked at together.
-_SLICE = 1 << 20
+_SLICE = 1 << 19
 #: Windows of one segment at most.
 _RUN = 256
 #: A key with more segments than this is split by window.
@@ -132,6 +132,11 @@ def _least(x: np.ndarray, width: int, of=np.minimum) -> np.ndarray:
     return of(x[: len(x) - rest], x[rest:]) if rest else x
 
 
+def _key(least: np.ndarray) -> np.ndarray:
+    """48-bit key of a least hash. Least hashes crowd near zero; keys are spread evenly, as shards are ranges of them."""
+    return mix(least + _STEP) >> U(16)
+
+
 def segments(s: Sequences, size: int, gram: int, content: bool) -> Segments:
     """All windows of the documents, as runs with the same key."""
     out, powers = [], Powers()
@@ -146,7 +151,7 @@ def segments(s: Sequences, size: int, gram: int, content: bool) -> Segments:
         at = starts[owner] + _RUN * (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
         count = np.minimum(ends[owner] - at, _RUN)
         hashes = span_hashes(x, at, at + count + size - 1, powers) if content else np.zeros(0, U)
-        out.append((at + low, count, least[at], hashes))
+        out.append((at + low, count, _key(least[at]), hashes))
     if not out:
         none = np.zeros(0, np.int64)
         return Segments(none, none, none.view(U), none.view(U))
@@ -181,7 +186,7 @@ def key_places(s: Sequences, size: int, gram: int) -> np.ndarray:
         grams = _grams(x, gram)
         masked = np.concatenate((np.zeros(width - 1, U), np.where(fits, least, U(0)), np.zeros(width - 1, U)))
         places = np.flatnonzero((_least(masked, width, np.maximum) == grams) & (grams > 0))
-        out.append(np.stack((grams[places], (places + low).astype(U)), 1))
+        out.append(np.stack((_key(grams[places]), (places + low).astype(U)), 1))
     if not out:
         return np.zeros(0, U)
     both = np.concatenate(out)
@@ -493,7 +498,7 @@ def _mark(kind: Kind):
         hit = bits[offset[group[which]] + j] if len(which) else np.zeros(0, bool)
         np.add.at(edge, found.start[which[hit]] + j[hit], 1)
         np.add.at(edge, found.start[which[hit]] + j[hit] + kind.size, -1)
-        return kind.result(table, np.cumsum(edge[:-1]) > 0, s)
+        return kind.result(table, np.cumsum(edge[:-1], dtype=np.int32) > 0, s)
 
     return run
 
@@ -511,7 +516,7 @@ def find_repeats(
     total = common.text_bytes(rows)
     least = max(common.cores(docs), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     n_chunks = common.parts_for(total, chunk_bytes, least)
-    n_key_buckets = common.parts_for(total, 4 * shard_bytes, common.cores(docs))
+    n_key_buckets = common.parts_for(total, 4 * chunk_bytes, common.cores(docs))
     n_buckets = common.parts_for(total, shard_bytes, least)
     chunk = F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).cast("int")
     dealt = rows.withColumn("chunk", chunk).repartition(n_chunks, "chunk")

@@ -24,8 +24,8 @@ from labelloom.llm.words import BYTE_VALUES, utf8
 
 U = np.uint64
 SIZE = 50
-#: Text sorted at once, in bytes.
-SORT_BYTES = 4 << 20
+#: Text sorted at once, in bytes, and the share of the corpus whose repeats are one shard.
+SORT_BYTES, SHARD_BYTES = 1 << 20, 2 << 20
 SCHEMA = "doc_id bigint, n_bytes bigint, spans array<struct<first:bigint,last:bigint>>, kept binary"
 
 
@@ -176,6 +176,7 @@ def remove_repeats(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = SIZE, sort_bytes: int = SORT_BYTES, **sizes
 ) -> DataFrame:
     """doc_id, n_bytes, removed spans of bytes and the kept bytes of every document."""
+    sizes = {"shard_bytes": SHARD_BYTES} | sizes
     kind = Kind(size, max(1, size * 8 // 25), _read, False, _resolver(size, sort_bytes), _result, SCHEMA, **_hot(sizes))
     return find_repeats(docs, kind, id_column, text, **sizes)
 
