@@ -125,7 +125,8 @@ def candidate_groups(nodes: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame, id_column: str, text: str, size: int) -> DataFrame:
     """``wanted`` (doc_id, node, …) with the n-gram set of each node as bytes."""
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = texts.join(wanted, "doc_id").select("text", "node", "component", "block", "blocks", "weight")
+    # Never broadcast, however few they are: the plan is the same at every size.
+    rows = texts.join(wanted.hint("merge"), "doc_id").select("text", "node", "component", "block", "blocks", "weight")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
