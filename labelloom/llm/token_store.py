@@ -193,7 +193,7 @@ def checksums(tokens: DataFrame) -> DataFrame:
     """``doc_id``, ``start``, ``n_tokens`` and the unsigned crc32 of the ids as little-endian 32-bit integers."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             ids = batch.column(3)
             values = pc.list_flatten(ids).to_numpy(zero_copy_only=False).astype("<u4").tobytes()
             ends = 4 * np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64))
