@@ -42,6 +42,8 @@ MODEL = "table-annotator"
 TASK = "Name the language of the text."
 CLASSES = 10  # of the vectors
 ACCURACY_FLOOR = 0.9
+# Starts and rounds of k-means in the queries whose SQL spells them out; others start from all rows and go on until settled.
+KMEANS_OF_SQL = {"pool": 4, "steps": 10}
 VARIANTS = {
     "english": [[], [("the", "that"), ("on", "off")], [("and", "or"), ("is", "was")]],
     "french": [[], [("le", "la"), ("des", "les")], [("un", "une"), ("qui", "que")]],
@@ -409,7 +411,7 @@ def q_nearest_demo_annotate(spark, sf_dir):
 
 
 def q_diverse_demos(spark, sf_dir):
-    chosen = diversity.select_diverse(vectors(spark, sf_dir).drop("y"), 10)
+    chosen = diversity.select_diverse(vectors(spark, sf_dir).drop("y"), 10, **KMEANS_OF_SQL)
     return chosen.select(F.col("id").alias("vec_id"), "label")
 
 
@@ -417,7 +419,7 @@ def q_clean_diverse_demos(spark, sf_dir):
     """Loss mixture over all vectors, clean ones kept, medoids of each class among them."""
     rows = vectors(spark, sf_dir)
     rows = with_logits(rows).withColumn("loss", cross_entropy(softmax(F.col("logits")), F.col("y")))
-    chosen = diversity.select_diverse_clean(rows.drop("y", "logits", "far"), 5)
+    chosen = diversity.select_diverse_clean(rows.drop("y", "logits", "far"), 5, **KMEANS_OF_SQL)
     return chosen.select(F.col("id").alias("vec_id"), "label")
 
 
@@ -619,7 +621,7 @@ def q_examples_by_strategy(spark, sf_dir):
     model, _ = train_robust(rows, [str(i) for i in range(CLASSES)], stages=3)
     scored = model.own_confidence(rows)
     chosen = [
-        diversity.select_examples(scored, 5, s).select(F.lit(s).alias("strategy"), "id", "label")
+        diversity.select_examples(scored, 5, s, **KMEANS_OF_SQL).select(F.lit(s).alias("strategy"), "id", "label")
         for s in ("diverse", "random", "confident")
     ]
     marked = corpora.union_splits(*chosen).join(scored.select("id", "confidence"), "id")
