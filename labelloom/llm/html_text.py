@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,8 +52,6 @@ ENDS = {
     "optgroup": ({"option", "optgroup"}, {"select"}),
     "a": ({"a"}, BLOCKS),
 }
-#: Elements nested deeper than this are not opened; their text belongs to the one they are in.
-DEPTH = 200
 FENCES = {"table", "td", "th", "caption", "html"}
 
 _TOKEN = re.compile(
@@ -70,11 +69,37 @@ _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 _SIMPLE = re.compile(r"[.#]?[\w-]+")
 
 
+def unfold(entries: list) -> list[str]:
+    """Lines of entries: a line, or a mark and the entries that it indents (no mark: taken as they are)."""
+    out: list[str] = []
+    # Entries still to come, prefixes of the next line and of those after it, whether lines end at their last mark.
+    todo = [(iter(entries), "", False)]
+    first = ""
+    while todo:
+        rest, indent, cut = todo[-1]
+        for entry in rest:
+            if isinstance(entry, str):
+                out.append((first + entry).rstrip() if cut else first + entry)
+                first = indent
+            else:
+                mark, inner = entry
+                if mark is None:
+                    todo.append((iter(inner), indent, cut))
+                else:
+                    first += mark
+                    todo.append((iter(inner), indent + " " * len(mark), True))
+                break
+        else:
+            todo.pop()
+            first = todo[-1][1] if todo else ""
+    return out
+
+
 class Frame:
-    """Lines of a block container, and the line being written."""
+    """Lines of a block container (see ``unfold``), and the line being written."""
 
     def __init__(self) -> None:
-        self.lines: list[str] = []
+        self.lines: list = []
         self.inline: list[str] = []
         self.gap = False
 
@@ -92,7 +117,7 @@ class Frame:
             if text:
                 self.add([line.strip(" ") for line in text.split("\n")])
 
-    def add(self, lines: list[str]) -> None:
+    def add(self, lines: list) -> None:
         if self.gap and self.lines:
             self.lines.append("")
         self.gap = False
@@ -105,11 +130,11 @@ class Frame:
 
 class Table:
     def __init__(self) -> None:
-        self.rows: list[list[tuple[list[str], int, int]]] = []
+        self.rows: list[list[tuple[list, int, int]]] = []
 
-    def lines(self) -> list[str]:
+    def lines(self) -> list:
         """Rows with their cells in columns; every column is as wide as its widest cell."""
-        grid: list[dict[int, tuple[list[str], int]]] = []
+        grid: list[dict[int, tuple[list, int]]] = []
         open_below: dict[int, int] = {}  # column: rows that a cell above still takes
         width: dict[int, int] = {}
         for row in self.rows:
@@ -118,14 +143,20 @@ class Table:
                 while open_below.get(column, 0) > 0:
                     column += 1
                 placed[column] = (lines, across)
-                if across == 1:
-                    width[column] = max(width.get(column, 0), max(map(len, lines), default=0))
                 for c in range(column, column + across):
                     if down > 1:
                         below[c] = down - 1
                 column += across
             grid.append(placed)
             open_below = below
+        if not any(column for placed in grid for column in placed):
+            # Nothing is beside anything: tables in tables are not laid out anew at each level.
+            return [(None, lines) for placed in grid for lines, _ in placed.values() if lines]
+        grid = [{column: (unfold(lines), across) for column, (lines, across) in placed.items()} for placed in grid]
+        for placed in grid:
+            for column, (lines, across) in placed.items():
+                if across == 1:
+                    width[column] = max(width.get(column, 0), max(map(len, lines), default=0))
         for placed in grid:
             for column, (lines, across) in placed.items():
                 if across > 1:
@@ -159,6 +190,8 @@ class Page:
     def __init__(self) -> None:
         # Open elements: name, whether hidden, frame or table that it opened, number of its last item.
         self.open: list[list] = []
+        # Places of the open elements of each name, from the outermost inwards.
+        self.places: dict[str, list[int]] = {}
         self.frames = [Frame()]
         self.pre = 0
         self.hiding: set[str] = set()
@@ -166,14 +199,20 @@ class Page:
     def hidden(self) -> bool:
         return bool(self.open) and self.open[-1][1]
 
+    def _last(self, names: set[str]) -> int:
+        """Place of the innermost open element of these names; else −1."""
+        places = self.places
+        return max((places[n][-1] for n in names if n in places), default=-1)
+
+    def _first(self, names: set[str], outside: int) -> int:
+        """Place of the outermost open element of these names inside the one at ``outside``; else −1."""
+        found = [at[i] for n in names if (at := self.places.get(n)) and (i := bisect_right(at, outside)) < len(at)]
+        return min(found, default=-1)
+
     def _depth(self, names: set[str], fences: set[str]) -> int:
         """Place of the innermost open element of these names, if no fence is inside; else −1."""
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in names:
-                return i
-            if self.open[i][0] in fences:
-                return -1
-        return -1
+        at = self._last(names)
+        return at if at >= 0 and self._last(fences) <= at else -1
 
     def _close_to(self, depth: int) -> None:
         while len(self.open) > depth >= 0:
@@ -181,6 +220,10 @@ class Page:
 
     def _pop(self) -> None:
         name, hidden, box, _ = self.open.pop()
+        places = self.places[name]
+        places.pop()
+        if not places:
+            del self.places[name]
         if name == "pre":
             self.pre -= 1
         if hidden:
@@ -188,13 +231,12 @@ class Page:
         if name == "li" and box is not None:
             self.frames.pop()
             box.flush()
-            owner = next((e for e in reversed(self.open) if e[0] in LISTS), None)
+            at = self._last(LISTS)
             mark = "- "
-            if owner is not None and owner[0] == "ol":
-                owner[3] += 1
-                mark = f"{owner[3]}. "
-            lines = box.lines or [""]
-            self.frames[-1].add([(mark + lines[0]).rstrip()] + [(" " * len(mark) + x).rstrip() for x in lines[1:]])
+            if at >= 0 and self.open[at][0] == "ol":
+                self.open[at][3] += 1
+                mark = f"{self.open[at][3]}. "
+            self.frames[-1].add([(mark, box.lines or [""])])
         elif name in CELLS and box is not None:
             self.frames.pop()
             frame, table, across, down = box
@@ -250,15 +292,14 @@ class Page:
             at = self._depth({"table"}, set())
             if at < 0:
                 return
-            row = next((i for i in range(at + 1, len(self.open)) if self.open[i][0] == "tr"), -1)
+            row = self._first({"tr"}, at)
             if name in CELLS:
                 if row < 0:
                     self.start("tr", "")
-                    row = next(i for i in range(at + 1, len(self.open)) if self.open[i][0] == "tr")
+                    row = self._first({"tr"}, at)
                 self._close_to(row + 1)
             elif name == "tr":
-                section = next((i for i in range(at + 1, len(self.open)) if self.open[i][0] in SECTIONS), at)
-                self._close_to(section + 1)
+                self._close_to(max(self._first(SECTIONS, at), at) + 1)
             else:
                 self._close_to(at + 1)
             table = self.open[at][2]
@@ -269,10 +310,6 @@ class Page:
             elif seen and name == "hr":
                 self.frames[-1].block(True)
             return
-        if len(self.open) >= DEPTH and name not in RAW and (seen or self.hidden()):
-            if seen and name in BLOCKS:
-                self.frames[-1].block(name in APART)
-            return
         box = None
         if seen:
             frame = self.frames[-1]
@@ -297,6 +334,7 @@ class Page:
         number = int(first) - 1 if name == "ol" and re.fullmatch(r"-?[0-9]{1,9}", first) else 0
         if name == "details":
             number = int("open" not in values)  # closed: only its summary is seen
+        self.places.setdefault(name, []).append(len(self.open))
         self.open.append([name, not seen, box, number])
 
     def _hides(self, name: str, values: dict[str, str]) -> bool:
@@ -350,7 +388,7 @@ class Page:
         self._close_to(0)
         frame = self.frames[0]
         frame.flush()
-        return "\n".join(frame.lines).strip("\n")
+        return "\n".join(unfold(frame.lines)).strip("\n")
 
 
 def render(source: str | None) -> str:

@@ -77,6 +77,28 @@ def test_deep_and_broken_pages_end():
     assert render("<div>" * 3000 + "x" + "</div>" * 3000 + "y") == "x\ny"
 
 
+@pytest.mark.parametrize("opened", ["<div>", "<b>", "<div><i>", "<blockquote>"])
+def test_pages_are_laid_out_at_any_depth(opened):
+    for source, text in [
+        ("<table><tr><td>a</td><td>b</td></tr><tr><td>ccc</td><td>d</td></tr></table>", "a    b\nccc  d"),
+        ("<ul><li>one</li><li>two<ol><li>x</li></ol></li></ul>", "- one\n- two\n  1. x"),
+        ("<div hidden><div>x</div>secret</div>seen", "seen"),
+        ("<section>a<div>b</div>c</section>d", "a\nb\nc\nd"),
+    ]:
+        assert render(source) == text
+        assert render(opened * 300 + source) == text
+    assert render("<ul><li>" * 300 + "x") == "- " * 300 + "x"
+    assert render("<ul><li>a" * 300).split("\n") == ["  " * i + "- a" for i in range(300)]
+    assert render("<table><tr><td>a" * 300 + "<td>b") == "a\n\n" * 299 + "a  b"
+
+
+def test_deep_lists_and_tables_end():
+    assert render("<ul><li>" * 20_000 + "x") == "- " * 20_000 + "x"
+    assert render("<table><tr><td>a" * 20_000).count("a") == 20_000
+    assert render("<p>a" + "<ul><li>b</ul>" * 20_000).count("b") == 20_000
+    assert render("<span>" * 20_000 + "<p>a<a>b<td>c</i>" * 20_000).count("a") == 20_000
+
+
 def test_extract_text(spark, sf_dir):
     rows = [(i, s, "clash") for i, (s, _) in enumerate(PAGES)]
     pages = spark.createDataFrame(rows, "page_id long, html string, text string")
