@@ -25,6 +25,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,41 +78,56 @@ def _multipliers(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U)) | U(1)
 
 
+def _nodes(grams: np.ndarray, counts: np.ndarray) -> list[bytes | None]:
+    """16 bytes that stand for each set, null for those without n-grams."""
+    full = counts > 0
+    nodes = np.zeros((len(counts), 2), U)
+    if full.any():
+        first = (np.cumsum(counts) - counts)[full]
+        nodes[full, 0] = np.add.reduceat(mix(grams ^ _STEP), first)
+        nodes[full, 1] = np.add.reduceat(mix(grams + _STEP), first) ^ counts[full].astype(U)
+    raw = nodes.tobytes()
+    return [raw[16 * i : 16 * i + 16] if f else None for i, f in enumerate(full)]
+
+
+def _documents(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """doc_id, text_hash and text. An id and the hash of the text together tell repeated ids apart."""
+    named = F.col(id_column).cast("long").alias("doc_id")
+    return docs.select(named, F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+
+
 def sketch(docs: DataFrame, id_column: str, text: str, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, node (16 bytes that stand for the set, null without words) and band hashes."""
+    """doc_id, text_hash, node (16 bytes that stand for the set, null without words) and band hashes."""
     factors = _multipliers(bands * rows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            for start, stop in common.text_slices(batch.column(1)):
-                ids, texts = batch.column(0).slice(start, stop - start), batch.column(1).slice(start, stop - start)
-                grams, counts = shingles(texts, size, powers)
+            for start, stop in common.text_slices(batch.column(2)):
+                part = batch.slice(start, stop - start)
+                grams, counts = shingles(part.column(2), size, powers)
                 full = counts > 0
                 first = (np.cumsum(counts) - counts)[full]
-                nodes = np.zeros((len(counts), 2), U)
                 keys = np.zeros((len(counts), bands), U)
                 if full.any():
-                    nodes[full, 0] = np.add.reduceat(mix(grams ^ _STEP), first)
-                    nodes[full, 1] = np.add.reduceat(mix(grams + _STEP), first) ^ counts[full].astype(U)
                     for band in range(bands):
                         key = np.full(len(first), U(band + 1))
                         for factor in factors[band * rows : (band + 1) * rows]:
                             key = mix(key * _STEP + np.minimum.reduceat(grams * factor, first))
                         keys[full, band] = key
                 width = pa.array(np.arange(0, bands * (len(counts) + 1), bands, dtype=np.int32))
-                raw = nodes.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids,
-                        pa.array([raw[16 * i : 16 * i + 16] if f else None for i, f in enumerate(full)], pa.binary()),
+                        part.column(0),
+                        part.column(1),
+                        pa.array(_nodes(grams, counts), pa.binary()),
                         pa.ListArray.from_arrays(width, pa.array(keys.view(np.int64).ravel())),
                     ],
-                    names=["doc_id", "node", "bands"],
+                    names=["doc_id", "text_hash", "node", "bands"],
                 )
 
-    rows_in = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows_in.mapInArrow(run, "doc_id bigint, node binary, bands array<bigint>")
+    rows_in = _documents(docs, id_column, text)
+    return rows_in.mapInArrow(run, "doc_id bigint, text_hash bigint, node binary, bands array<bigint>")
 
 
 def candidate_groups(nodes: DataFrame) -> DataFrame:
@@ -123,10 +139,10 @@ def candidate_groups(nodes: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_column: str, text: str, size: int) -> DataFrame:
-    """``wanted`` (doc_id, node, …) with the n-gram set of each node as bytes."""
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    """``wanted`` (doc_id, text_hash, node, …) with the n-gram set of each node as bytes."""
+    texts = _documents(docs, id_column, text)
     # Never broadcast, however few they are: the plan is the same at every size.
-    rows = texts.join(wanted.hint("merge"), "doc_id").select("text", "node", "component", "block", "blocks", "weight")
+    rows = texts.join(wanted.hint("merge"), ["doc_id", "text_hash"]).select("text", "node", "component", "block", "blocks", "weight")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -136,9 +152,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_column: str, text: str, size: i
                 grams, counts = shingles(part.column(0), size, powers)
                 ends, data = 8 * np.cumsum(counts), grams.tobytes()
                 sets = [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-                yield pa.RecordBatch.from_arrays(
+                found = pa.RecordBatch.from_arrays(
                     [pa.array(sets, pa.binary()), *part.columns[1:]], names=["grams", *part.schema.names[1:]]
                 )
+                # Another text of the same id and hash is another set.
+                yield found.filter(pc.equal(pa.array(_nodes(grams, counts), pa.binary()), part.column(1)))
 
     return rows.mapInArrow(run, "grams binary, node binary, component binary, block int, blocks int, weight bigint")
 
@@ -173,7 +191,7 @@ def _compare(threshold: Fraction):
         first, second = key[1].as_py(), key[2].as_py()
         seen: dict[bytes, int] = {}
         for i, node in enumerate(rows.column("node").to_pylist()):
-            seen.setdefault(node, i)  # a repeated id may bring a set twice
+            seen.setdefault(node, i)  # a repeated row may bring a set twice
         rows = rows.take(pa.array(sorted(seen.values()), pa.int64()))
         nodes = rows.column("node").to_pylist()
         block = rows.column("block").to_numpy()
@@ -227,12 +245,18 @@ def join_near(
     block: int = 256,
 ) -> DataFrame:
     """One row per document: doc_id, class_id, copy_id, n_links. See the module's text."""
+    return _join(docs, id_column, text, size, threshold, recall, block).drop("text_hash")
+
+
+def _join(docs: DataFrame, id_column: str, text: str, size: int, threshold: float, recall: float, block: int) -> DataFrame:
+    """The result of :func:`join_near` with ``text_hash``."""
     bands, rows = choose_bands(threshold, recall)
     sketches = store_table(sketch(docs, id_column, text, size, bands, rows))
     known = sketches.where("node is not null and doc_id is not null")
     nodes = known.groupBy("node").agg(
-        F.min("doc_id").alias("copy_id"), F.count("*").alias("weight"), F.min_by("bands", "doc_id").alias("bands")
+        F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("weight"), F.min_by("bands", "doc_id").alias("bands")
     )
+    nodes = nodes.select("node", F.col("first.doc_id").alias("copy_id"), F.col("first.text_hash").alias("text_hash"), "weight", "bands")
     nodes = store_table(nodes)
     groups = store_table(candidate_groups(nodes))
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
@@ -241,8 +265,8 @@ def join_near(
         groups.join(sizes, "component")
         .withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
         .withColumn("block", place)
-        .join(nodes.select("node", "copy_id", "weight"), "node")
-        .select(F.col("copy_id").alias("doc_id"), "node", "component", "block", "blocks", "weight")
+        .join(nodes.select("node", "copy_id", "text_hash", "weight"), "node")
+        .select(F.col("copy_id").alias("doc_id"), "text_hash", "node", "component", "block", "blocks", "weight")
     )
     sets = _sets(docs, store_table(wanted), id_column, text, size)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - F.lit(1)))
@@ -266,22 +290,33 @@ def join_near(
             (F.coalesce("links", F.lit(0)) + F.col("weight") - F.lit(1)).alias("n_links"),
         )
     )
-    own = sketches.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
+    own = sketches.select("doc_id", "text_hash", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
     return own.join(facts, "node", "left").select(
         "doc_id",
+        "text_hash",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("copy_id", "doc_id").alias("copy_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def keep_one(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text: str = "text",
+    size: int = 5,
+    threshold: float = 0.8,
+    recall: float = 0.9999,
+    block: int = 256,
+) -> DataFrame:
     """Rows of ``docs`` without those that :func:`join_near` links to a document of a smaller id.
 
     Of rows with the class's smallest id (a repeated id) all of the same text are one row.
     """
-    found = join_near(docs, id_column, text, **options)
-    keep = found.where("class_id = doc_id").select(F.col("doc_id").alias(id_column)).distinct()
+    found = _join(docs, id_column, text, size, threshold, recall, block)
+    keep = found.where("class_id = doc_id").select("doc_id", "text_hash").distinct()
+    keep = keep.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     named = docs.where(F.col(id_column).isNotNull())
-    kept = named.join(keep, id_column, "left_semi").dropDuplicates([id_column, text])
+    same = (F.col(id_column).cast("long") == F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
+    kept = named.join(keep, same, "left_semi").dropDuplicates([id_column, text])
     return kept.select(docs.columns).unionByName(docs.where(F.col(id_column).isNull()))

@@ -254,6 +254,16 @@ def test_near_copies_odd_rows(spark):
     )
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_near_copies_of_an_id_with_two_texts(spark, turned):
+    one, two = long_text(60, 1), long_text(60, 2)
+    rows = [(1, one + " x"), (2, one), (2, two), (3, two + " y"), (4, long_text(60, 3))]
+    docs = docs_table(spark, rows[::-1] if turned else rows).coalesce(1)
+    got = sorted((r["doc_id"], r["class_id"], r["copy_id"], r["n_links"]) for r in ngram_join.join_near(docs).collect())
+    assert got == [(1, 1, 1, 1), (2, 1, 2, 1), (2, 2, 2, 1), (3, 2, 3, 1), (4, 4, 4, 0)]
+    assert sorted((r["doc_id"], r["text"]) for r in ngram_join.keep_one(docs).collect()) == [(1, one + " x"), (2, two), rows[4]]
+
+
 def test_bands_reach_the_recall():
     for threshold, recall in ((0.8, 0.9999), (0.5, 0.95), (0.9, 0.99)):
         bands, rows = ngram_join.choose_bands(threshold, recall)
