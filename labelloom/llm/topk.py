@@ -9,13 +9,15 @@ pruned by the product of the first coordinates plus the product of the residual
 bounds the whole product (Cauchy and Schwarz). What is left is scored exactly, in integers.
 Each task keeps k per query, and the shards' lists are merged.
 
-Defined results: vectors that are null, or hold a null or non-finite component, take no part;
-so do vectors of another size than the most common; scores that are equal go to the smaller id; a query is not its own
+Defined results: vectors that are null or empty, or hold a null or non-finite component, take no part;
+vectors are compared with those of their own size; scores that are equal go to the smaller id; a query is not its own
 candidate, by id; null ids take no part; fewer candidates than k give all.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -126,16 +128,24 @@ def top_k(
         F.col(id_column).cast("long").alias("id"), quantise(vector, scale).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks")
     )
     rows = store_table(rows.where("vector is not null").withColumn("size", F.size("vector")))
-    sizes = rows.groupBy("size").count().orderBy(F.desc("count"), F.desc("size")).head()
-    empty = "query_id bigint, rank int, vec_id bigint, score bigint"
-    if sizes is None or sizes["size"] == 0:
-        return vectors.sparkSession.createDataFrame([], empty)
-    size, n = sizes["size"], sizes["count"]
-    rows = rows.where(F.col("size") == size)
+    sizes = rows.where("size > 0").groupBy("size").agg(F.count("*").alias("n"), F.count_if("asks").alias("n_asked"))
+    sizes = sizes.where("n > 1 and n_asked > 0").orderBy("size").collect()
+    if not sizes:
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    parts = [
+        _of_size(rows.where(F.col("size") == s["size"]), s["size"], s["n"], s["n_asked"], k, shard_rows, block_rows, run_rows) for s in sizes
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _of_size(
+    rows: DataFrame, size: int, n: int, n_asked: int, k: int, shard_rows: int, block_rows: int, run_rows: int
+) -> DataFrame:
+    """The result of :func:`top_k` among ``n`` rows (id, vector, asks) of one size, ``n_asked`` of them queries."""
     turn = basis(rows, size)
     length = F.aggregate("vector", F.lit(0).cast("long"), lambda s, x: s + x * x)
     n_shards = common.parts_for(n, shard_rows)
-    n_blocks = common.parts_for(rows.where("asks").count(), block_rows)
+    n_blocks = common.parts_for(n_asked, block_rows)
     # Shards are ranges of descending length, cut at quantiles of all lengths; equal lengths are spread by id.
     lengths, shares = rows.select(length.cast("double").alias("l")), [i / n_shards for i in range(1, n_shards)]
     cuts = sorted(set(lengths.approxQuantile("l", shares, 0.01)), reverse=True) if shares else []

@@ -38,6 +38,15 @@ def test_top_k_few_rows(spark):
     assert [tuple(r) for r in topk.top_k(two, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 64 * 128)]
 
 
+def test_top_k_of_every_length(spark):
+    rows = [(i, []) for i in range(50)] + [(100 + i, [float(i), 1.0]) for i in range(6)] + [(200 + i, [1.0, float(-i), 2.0]) for i in range(9)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(table, F.col("vec_id") % 20 == 0, 3).collect()
+    expected = brute([r for r in rows if len(r[1]) == 2], 3) | brute([r for r in rows if len(r[1]) == 3], 3)
+    assert len(expected) == 6
+    assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in got} == expected
+
+
 PAGES = [
     ("<p>a<p>b", "a\n\nb"),
     ("<div>a<div>b</div>c</div>", "a\nb\nc"),
