@@ -141,6 +141,31 @@ SELECT doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, coalesce(n, 0) AS n_rem
 FROM d LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+# crc32 of the id's digits, bit by bit.
+_CRC = """xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+  lambda x, b: list_reduce([xor(x, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)), 4294967295)"""
+
+# A blank is the end of a text and two are its start: no word holds any.
+LANGUAGE_MODEL = rf"""
+WITH d AS (
+  SELECT doc_id, {_CRC} % 5 = 1 AS held_out,
+         list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS ws
+  FROM documents),
+tokens AS (SELECT doc_id, held_out, unnest(ws) AS w, unnest(list_prepend('  ', ws)[:-2]) AS before FROM d),
+singles AS (SELECT w, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY w),
+pairs AS (SELECT before, w, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY ALL),
+starts AS (SELECT before, sum(c) AS c FROM pairs GROUP BY before),
+totals AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM singles),
+p AS (
+  SELECT doc_id, held_out, coalesce(singles.c, 0) AS c, (coalesce(singles.c, 0) + 0.5::DOUBLE) / (n + 0.5::DOUBLE * (v + 1)) AS p,
+         coalesce(pairs.c, 0) AS together, coalesce(starts.c, 0) AS context, n
+  FROM tokens CROSS JOIN totals LEFT JOIN singles USING (w) LEFT JOIN pairs ON pairs.before = tokens.before AND pairs.w = tokens.w
+       LEFT JOIN starts ON starts.before = tokens.before)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE c > 0) AS n_known, any_value(n) AS train_tokens,
+       round(fsum(log10(p)), 6) AS base_score, round(fsum(log10((together + 500 * p) / (context + 500))), 6) AS score
+FROM p GROUP BY doc_id, held_out
+"""
+
 
 def statements() -> dict[str, str]:
     return {
@@ -150,4 +175,5 @@ def statements() -> dict[str, str]:
         "op6_topk": TOP,
         "op7_decontaminate": BENCHMARK,
         "op8_suffix_arrays": REPEATED_BYTES,
+        "op11_lm_score": LANGUAGE_MODEL,
     }

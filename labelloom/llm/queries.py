@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import crc_mod, table
-from labelloom.llm import decontaminate, html_text, lang_id, mixing, ngram_join, suffix_arrays, suffix_automata, token_store, topk, toxicity
+from labelloom.llm import decontaminate, html_text, lang_id, lm_score, mixing, ngram_join, suffix_arrays, suffix_automata, token_store, topk, toxicity
 
 
 def tokenizer_file() -> str:
@@ -90,5 +90,11 @@ def q_op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.checksums(token_store.token_store(docs, tokenizer_file()))
 
 
+def q_op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = lm_score.score_texts(docs, crc_mod("doc_id", 5) != 1)
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
+
+
 def named() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_")}
