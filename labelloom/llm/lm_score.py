@@ -33,7 +33,7 @@ from labelloom.llm.words import BYTE_VALUES, Powers, find_words, mix, span_hashe
 
 U = np.uint64
 #: Text of a chunk and text whose n-grams a shard holds, in bytes.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Concentrations of the orders from two on; further orders take the last.
 CONCENTRATION = (500.0, 10.0)
 #: Longest stretch that is walked as one; a longer text is walked as several, each entered with the state that it would have.
@@ -82,11 +82,11 @@ class Texts:
 
     def __init__(self, table: pa.Table) -> None:
         order = pc.sort_indices(table, [("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start")
-        self.table = table.take(order).combine_chunks()
-        n = len(self.table)
-        text = self.table.column("text")
-        self.doc_ids = self.table.column("doc_id")
-        self.trained = self.table.column("trained").to_numpy(zero_copy_only=False).astype(bool)
+        table = table.take(order)
+        n = len(table)
+        text = table.column("text")
+        self.doc_ids = table.column("doc_id")
+        self.trained = table.column("trained").to_numpy(zero_copy_only=False).astype(bool)
         hashes, counts = [], []
         powers = Powers()
         joined = text.combine_chunks() if text.num_chunks != 1 else text.chunk(0)
@@ -101,7 +101,7 @@ class Texts:
         self.first = np.concatenate(([0], np.cumsum(self.n_words + 2))).astype(np.int64)
         self.symbols = np.full(self.first[-1], _END, U)
         self.symbols[self.first[:-1]] = _START
-        self.doc_of = np.repeat(np.arange(n), self.n_words + 2)
+        self.doc_of = np.repeat(np.arange(n, dtype=np.int32), self.n_words + 2)
         inside = np.ones(len(self.symbols), bool)
         inside[self.first[:-1]] = inside[self.first[1:] - 1] = False
         self.symbols[inside] = np.concatenate(hashes) if hashes else np.zeros(0, U)
