@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import crc_mod, table
-from labelloom.llm import decontaminate, html_text, lang_id, lm_score, mixing, ngram_join, suffix_arrays, suffix_automata, token_store, topk, toxicity
+from labelloom.llm import decontaminate, html_text, lang_id, lm_score, mixing, ngram_join, suffix_arrays, suffix_automata, token_pairs, token_store, topk, toxicity
 
 
-def tokenizer_file() -> str:
-    """Path of the byte-level vocabulary, as the installed package of public tokenizers names it."""
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """Path of a vocabulary, the byte-level one if unnamed, as the installed package of public tokenizers has it."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def q_op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,5 +96,10 @@ def q_op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
 
 
+def q_op13_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_pairs.align_pairs(docs, tokenizer_file(), tokenizer_file("piece_bpe_32k.model")).documents
+
+
 def named() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_")}
