@@ -166,6 +166,23 @@ SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE c > 0) AS
 FROM p GROUP BY doc_id, held_out
 """
 
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+RANKED = rf"""
+WITH d AS (SELECT doc_id, {_TERMS} AS ts FROM documents),
+totals AS (SELECT count(*) FILTER (WHERE len(ts) > 0)::BIGINT AS n, sum(len(ts))::BIGINT AS l FROM d),
+postings AS (SELECT doc_id, len AS n, t, count(*) AS tf FROM (SELECT doc_id, len(ts) AS len, unnest(ts) AS t FROM d) GROUP BY ALL),
+weights AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(totals.n) + 2) / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM postings, totals GROUP BY t),
+wanted AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY ALL),
+scores AS (
+  SELECT item_id, doc_id,
+         CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * postings.n * totals.n) // totals.l)))) AS BIGINT) AS score
+  FROM wanted JOIN weights USING (t) JOIN postings USING (t) CROSS JOIN totals GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
 
 def statements() -> dict[str, str]:
     return {
@@ -176,4 +193,5 @@ def statements() -> dict[str, str]:
         "op7_decontaminate": BENCHMARK,
         "op8_suffix_arrays": REPEATED_BYTES,
         "op11_lm_score": LANGUAGE_MODEL,
+        "op12_ranked_search": RANKED,
     }

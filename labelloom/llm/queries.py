@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import crc_mod, table
-from labelloom.llm import decontaminate, html_text, lang_id, lm_score, mixing, ngram_join, suffix_arrays, suffix_automata, token_pairs, token_store, topk, toxicity
+from labelloom.llm import decontaminate, html_text, lang_id, lm_score, mixing, ngram_join, ranked_search, suffix_arrays, suffix_automata, token_pairs, token_store, topk, toxicity
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -96,6 +96,11 @@ def q_op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
 
 
+def q_op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
 def q_op13_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_pairs.align_pairs(docs, tokenizer_file(), tokenizer_file("piece_bpe_32k.model")).documents

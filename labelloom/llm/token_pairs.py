@@ -356,6 +356,6 @@ def align_pairs(docs: DataFrame, a_file: str, b_file: str, **columns: str) -> Pa
     most = counts.groupBy("b").agg(F.max("count").alias("most"))
     pairs = store_table(counts.join(most, "b").select("a", "b", "n_docs", "count", (F.col("count") == F.col("most")).alias("is_best")))
     scored = lists.join(pairs.select("a", "b", "count", "is_best"), ["a", "b"]).select("block", "planes", "count", "is_best")
-    rows = blocks.where("kind = 0").select("block", "place", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
-    result = rows.groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(_return, RESULT)
+    rows = blocks.where("kind = 0").select(F.col("block").alias("own_block"), "place", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
+    result = rows.groupBy("own_block").cogroup(scored.groupBy("block")).applyInArrow(_return, RESULT)
     return Pairs(result, pairs)
