@@ -31,6 +31,7 @@ from labelloom.operators import annotate as ann
 from labelloom.operators import diversity, metrics, noise, sampling
 from labelloom.operators.augment import drop_words, expand_corpus, mangle, mixup
 from labelloom.operators.classify import Classifier, embed, train_robust
+from labelloom.operators.embedding import fit_pooler
 from labelloom.plans.loop import label_loop, latest_annotations, pending_texts, training_rows
 from labelloom.session import new_run_dir, spread
 from labelloom.sources import cache as replies_cache
@@ -42,8 +43,6 @@ MODEL = "table-annotator"
 TASK = "Name the language of the text."
 CLASSES = 10  # of the vectors
 ACCURACY_FLOOR = 0.9
-# Starts and rounds of k-means in the queries whose SQL spells them out; others start from all rows and go on until settled.
-KMEANS_OF_SQL = {"pool": 4, "steps": 10}
 VARIANTS = {
     "english": [[], [("the", "that"), ("on", "off")], [("and", "or"), ("is", "was")]],
     "french": [[], [("le", "la"), ("des", "les")], [("un", "une"), ("qui", "que")]],
@@ -411,7 +410,7 @@ def q_nearest_demo_annotate(spark, sf_dir):
 
 
 def q_diverse_demos(spark, sf_dir):
-    chosen = diversity.select_diverse(vectors(spark, sf_dir).drop("y"), 10, **KMEANS_OF_SQL)
+    chosen = diversity.select_diverse(vectors(spark, sf_dir).drop("y"), 10)
     return chosen.select(F.col("id").alias("vec_id"), "label")
 
 
@@ -419,10 +418,25 @@ def q_clean_diverse_demos(spark, sf_dir):
     """Loss mixture over all vectors, clean ones kept, medoids of each class among them."""
     rows = vectors(spark, sf_dir)
     rows = with_logits(rows).withColumn("loss", cross_entropy(softmax(F.col("logits")), F.col("y")))
-    chosen = diversity.select_diverse_clean(rows.drop("y", "logits", "far"), 5, **KMEANS_OF_SQL)
+    chosen = diversity.select_diverse_clean(rows.drop("y", "logits", "far"), 5)
     return chosen.select(F.col("id").alias("vec_id"), "label")
 
 
+def q_pooled_embedding(spark, sf_dir):
+    """Pooled token vectors of all documents, each by some of its numbers and sums over all of them."""
+    rows = documents(spark, sf_dir).select("id", "text")
+    pooled = fit_pooler(rows).transform(spread(rows))
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    placed = F.transform(e, lambda x, i: x * (i + 1))
+    return pooled.select(
+        F.col("id").alias("doc_id"),
+        F.size("embedding").alias("width"),
+        *(r6(F.get(e, F.lit(i))).alias(f"e{i}") for i in (0, 63, 127)),
+        r6(array_total(F.transform(e, lambda x: x * x))).alias("squared"),
+        r6(array_total(placed)).alias("placed"),
+    )
+
+
 # Losses, mixture, augmentation
 
 
@@ -621,7 +635,7 @@ def q_examples_by_strategy(spark, sf_dir):
     model, _ = train_robust(rows, [str(i) for i in range(CLASSES)], stages=3)
     scored = model.own_confidence(rows)
     chosen = [
-        diversity.select_examples(scored, 5, s, **KMEANS_OF_SQL).select(F.lit(s).alias("strategy"), "id", "label")
+        diversity.select_examples(scored, 5, s).select(F.lit(s).alias("strategy"), "id", "label")
         for s in ("diverse", "random", "confident")
     ]
     marked = corpora.union_splits(*chosen).join(scored.select("id", "confidence"), "id")

@@ -131,41 +131,54 @@ probs AS (SELECT *, list_transform(ex, lambda x: x / list_sum(ex)) AS p FROM exp
 losses AS (SELECT *, -ln(greatest(p[label + 1], 1e-15::DOUBLE)) AS loss FROM probs)"""
 
 
-def medoids_per_class(points: str, k: int, steps: int = 10, seed: int = 42) -> str:
+def medoids_per_class(points: str, k: int, turns: int = 4, seed: int = 42) -> str:
     """CTEs over ``points`` (vec_id, label, e) ending in ``chosen`` (vec_id, label): classes of up to ``k`` rows whole,
-    else the members nearest to ``k`` centres, which start far apart and move to their members' means."""
-    far = [
-        f"""sized AS (SELECT *, count(*) OVER (PARTITION BY label) AS size FROM {points}), big AS (SELECT * FROM sized WHERE size > {k}),
-      pool AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {key(seed, 'vec_id')}, vec_id) AS o FROM big
-        QUALIFY row_number() OVER (PARTITION BY label ORDER BY {key(seed, 'vec_id')}, vec_id) <= {4 * k}),
-      f0 AS (SELECT label, e AS c FROM pool WHERE o = 1),
-      n0 AS (SELECT pool.*, {squared('e', 'c')} AS d FROM pool JOIN f0 USING (label))"""
-    ]
-    for t in range(1, k):
-        far.append(
-            f"""f{t} AS (SELECT label, arg_max(e, {{'d': d, 'o': -o}}) AS c FROM n{t - 1} GROUP BY label HAVING max(d) > 0),
-      n{t} AS (SELECT n{t - 1}.* REPLACE (least(d, coalesce({squared('e', 'c')}, d)) AS d) FROM n{t - 1} LEFT JOIN f{t} USING (label))"""
-        )
-    centres = " UNION ALL ".join(f"SELECT label, {t} AS j, c FROM f{t}" for t in range(k))
-    far.append(f"g0 AS MATERIALIZED ({centres})")
+    else the members nearest to ``k`` centres, which start from weighted candidates and move to their members' means
+    until none moves. The statement must be recursive."""
 
     def near(g: str) -> str:
         return f"""SELECT vec_id, label, any_value(e) AS e, arg_min(j, {{'d': d, 'i': j}}) AS j, min(d) AS d
         FROM (SELECT vec_id, big.label, e, j, {squared('e', 'c')} AS d FROM big JOIN {g} USING (label)) GROUP BY vec_id, label"""
 
-    for i in range(steps):
-        far.append(
-            f"""a{i} AS ({near(f'g{i}')}),
-      p{i} AS (SELECT label, j, i, avg(x) AS x FROM (SELECT label, j, unnest(e) AS x, unnest(range(len(e))) AS i FROM a{i}) GROUP BY ALL),
-      m{i} AS (SELECT label, j, list(x ORDER BY i) AS m FROM p{i} GROUP BY label, j),
-      g{i + 1} AS MATERIALIZED (SELECT label, j, coalesce(m, c) AS c FROM g{i} LEFT JOIN m{i} USING (label, j))"""
+    parts = [
+        f"""sized AS (SELECT *, count(*) OVER (PARTITION BY label) AS size FROM {points}), big AS (SELECT * FROM sized WHERE size > {k}),
+      c0 AS MATERIALIZED (SELECT label, 0 AS j, e AS c FROM big QUALIFY row_number() OVER (PARTITION BY label ORDER BY {key(seed, 'vec_id')}, vec_id) = 1)"""
+    ]
+    for t in range(turns):
+        draw = f"-ln({u(seed, "'draw'", f"'{t}'", 'vec_id')} + pow(2::DOUBLE, -33)) / d"
+        parts.append(
+            f"""d{t} AS ({near(f'c{t}')}),
+      c{t + 1} AS MATERIALIZED (SELECT * FROM c{t} UNION ALL
+        SELECT label, {2 * k * t} + row_number() OVER (PARTITION BY label ORDER BY {draw}, vec_id) AS j, e FROM d{t} WHERE d > 0
+        QUALIFY row_number() OVER (PARTITION BY label ORDER BY {draw}, vec_id) <= {2 * k})"""
+        )
+    parts.append(
+        f"""members AS (SELECT label, j, count(*) AS w FROM ({near(f'c{turns}')}) GROUP BY label, j),
+      weighed AS (SELECT label, j, c, coalesce(w, 0) AS w FROM c{turns} LEFT JOIN members USING (label, j)),
+      f0 AS (SELECT label, arg_max(c, {{'w': w, 'j': -j}}) AS f FROM weighed GROUP BY label),
+      n0 AS (SELECT weighed.*, {squared('c', 'f')} AS d FROM weighed JOIN f0 USING (label))"""
+    )
+    for t in range(1, k):
+        parts.append(
+            f"""f{t} AS (SELECT label, arg_max(c, {{'d': w * d, 'j': -j}}) AS f FROM n{t - 1} GROUP BY label HAVING max(w * d) > 0),
+      n{t} AS (SELECT n{t - 1}.* REPLACE (least(d, coalesce({squared('c', 'f')}, d)) AS d) FROM n{t - 1} LEFT JOIN f{t} USING (label))"""
         )
-    far.append(
-        f"""last AS ({near(f'g{steps}')}),
+    starts = " UNION ALL ".join(f"SELECT label, {t}::BIGINT AS j, f AS c FROM f{t}" for t in range(k))
+    parts.append(
+        f"""rounds AS (
+        SELECT 0 AS step, label, j, c, true AS moved FROM ({starts})
+        UNION ALL
+        SELECT step + 1, g.label, g.j, coalesce(m, c), coalesce({squared('m', 'c')} > 1e-20::DOUBLE, false)
+        FROM (SELECT * FROM rounds WHERE (SELECT bool_or(moved) FROM rounds) AND step < 300) g LEFT JOIN (
+          SELECT label, j, list(x ORDER BY i) AS m FROM (
+            SELECT label, j, i, avg(x) AS x FROM (SELECT label, j, unnest(e) AS x, unnest(range(len(e))) AS i FROM ({near('rounds')})) GROUP BY ALL)
+          GROUP BY label, j) USING (label, j)),
+      settled AS MATERIALIZED (SELECT label, j, c FROM rounds WHERE step = (SELECT max(step) FROM rounds)),
+      last AS ({near('settled')}),
       chosen AS (SELECT arg_min(vec_id, {{'d': d, 'i': vec_id}}) AS vec_id, label FROM last GROUP BY label, j
         UNION ALL SELECT vec_id, label FROM sized WHERE size <= {k})"""
     )
-    return ",\n".join(far)
+    return ",\n".join(parts)
 
 
 def mixture(points: str) -> str:
@@ -375,17 +388,30 @@ def statements() -> dict[str, str]:
       round(avg({POSTERIOR}), 6) AS avg_prob, round(any_value(mc), 6) AS clean_mean, round(any_value(mn), 6) AS noisy_mean
       FROM losses, fit GROUP BY label"""
     named = "named AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, embedding::DOUBLE[] AS e FROM embeddings)"
-    sql["diverse_demos"] = f"WITH {named}, {medoids_per_class('named', 10)} SELECT vec_id, label FROM chosen"
+    sql["diverse_demos"] = f"WITH RECURSIVE {named}, {medoids_per_class('named', 10)} SELECT vec_id, label FROM chosen"
     sql["clean_diverse_demos"] = f"""WITH RECURSIVE {EXPONENTS}, points AS (SELECT loss AS x, count(*) AS n FROM losses GROUP BY loss),
       {mixture('points')}, clean AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, e FROM losses, fit WHERE {POSTERIOR} >= 0.7),
       {medoids_per_class('clean', 5)} SELECT vec_id, label FROM chosen"""
     by_vector = f"row_number() OVER (PARTITION BY label ORDER BY {key(42, 'vec_id')})"
-    sql["examples_by_strategy"] = f"""WITH {named}, {medoids_per_class('named', 5)},
+    sql["examples_by_strategy"] = f"""WITH RECURSIVE {named}, {medoids_per_class('named', 5)},
       picked AS (SELECT 'diverse' AS strategy, vec_id, label FROM chosen
         UNION ALL SELECT 'random', vec_id, label FROM named QUALIFY {by_vector} <= 5)
       SELECT strategy, label, count(*) AS n, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) AS vec_ids, true AS holds
       FROM picked GROUP BY strategy, label
       UNION ALL SELECT 'confident', label, least(5, count(*)), NULL, true FROM named GROUP BY label"""
+    bit = "(CAST('0x' || substr(m, i // 4 + 1, 1) AS BIGINT) >> (3 - i % 4)) & 1"
+    sql["pooled_embedding"] = f"""WITH t AS (SELECT doc_id, unnest({WORDS.replace('text', 'lower(text)')}) AS t FROM documents),
+      counted AS (SELECT doc_id, t, md5(t) AS m, count(*) AS c FROM t GROUP BY doc_id, t),
+      buckets AS (SELECT substr(m, 1, 4) AS b, ln(((SELECT count(*) FROM documents) + 1) / (count(DISTINCT doc_id) + 1)::DOUBLE) AS w FROM counted GROUP BY b),
+      signs AS (SELECT t, list_transform(range(128), lambda i: 2 * ({bit}) - 1) AS s FROM (SELECT DISTINCT t, m FROM counted)),
+      weighed AS (SELECT doc_id, t, c * w AS w FROM counted JOIN buckets ON substr(m, 1, 4) = b),
+      totals AS (SELECT doc_id, sum(w) AS total FROM weighed GROUP BY doc_id),
+      summed AS (SELECT doc_id, i, sum(w * s[i + 1]) AS x FROM (SELECT doc_id, w, s, unnest(range(128)) AS i FROM weighed JOIN signs USING (t)) GROUP BY doc_id, i),
+      e AS (SELECT doc_id, i, CAST(CASE WHEN total > 0 THEN x / total / sqrt(128::DOUBLE) ELSE 0 END AS FLOAT)::DOUBLE AS x FROM summed JOIN totals USING (doc_id)),
+      found AS (SELECT doc_id, any_value(x) FILTER (WHERE i = 0) AS e0, any_value(x) FILTER (WHERE i = 63) AS e63, any_value(x) FILTER (WHERE i = 127) AS e127,
+        sum(x * x) AS squared, sum(x * (i + 1)) AS placed FROM e GROUP BY doc_id)
+      SELECT doc_id, 128 AS width, round(coalesce(e0, 0), 6) AS e0, round(coalesce(e63, 0), 6) AS e63, round(coalesce(e127, 0), 6) AS e127,
+        round(coalesce(squared, 0), 6) AS squared, round(coalesce(placed, 0), 6) AS placed FROM documents LEFT JOIN found USING (doc_id)"""
     sql["predict_confidence"] = "SELECT vec_id, CAST(label AS VARCHAR) AS label, true AS is_argmax, true AS in_range FROM embeddings"
     by_label = RANKED.format(key=key(42, "doc_id"), source="docs")
     sql["robust_train_eval"] = f"""WITH {DOCS}, {by_label}, train AS (SELECT count(*) AS n FROM ranked WHERE r > {QUOTA})
