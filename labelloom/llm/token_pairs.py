@@ -36,7 +36,7 @@ from labelloom.session import store_table
 BLOCK_DOCS = 4096
 BLOCK_BYTES = 8 << 20
 #: Words whose alignment a Python worker remembers, in each of two generations.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 #: Largest share of set bits (one in so many) that is stored as positions instead of bits.
 _SPARSE = 16
 
@@ -61,7 +61,7 @@ def byte_decoder() -> dict[str, int]:
     return {chr(x): x for x in plain} | {chr(256 + i): x for i, x in enumerate(other)}
 
 
-@dataclass(slots=True)
+@dataclass(slots=True, eq=False)
 class Aligned:
     """Alignment of one text or part: sizes, groups as text, and the linked pairs in order, as ``a << 32 | b``."""
 
@@ -102,8 +102,11 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size()) if not self.b.is_byte(i)]
         split = self.a.pre_tokenizer
         byte_level = split is not None and b'"ByteLevel"' in split.__getstate__()
+        #: Marks before which a token ends if a letter stands there: no piece of B goes on over them.
+        self.marks = [m for m in ".,;:!?" if byte_level and not any(m in p[1:] and p[p.index(m, 1) - 1].isalpha() for p in pieces)]
         #: Whether parts are encoded as in the whole text: no piece of B goes on over a space or line feed.
         self.by_parts = byte_level and not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
+        self.mark_of = {m: self._after_letter(m) for m in self.marks} if self.by_parts else {}
         self.fresh: dict[str, Aligned | None] = {}
         self.old: dict[str, Aligned | None] = {}
 
@@ -132,23 +135,29 @@ class Aligner:
             g, a, b = g2, a2, b2
         return out
 
+    def _a_ids(self, text: str) -> list[int]:
+        return self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def whole(self, text: str) -> Aligned | None:
         data = (" " + text).encode()
-        ids = self.a.encode(" " + text, add_special_tokens=False).ids
-        found = self._cut(ids, self.b.encode(text, num_threads=1), np.array([len(data)]), data)
+        found = self._cut(self._a_ids(" " + text), self.b.encode(text, num_threads=1), np.array([len(data)]), data)
         return found[0] if found else None
 
     def _part(self, part: str) -> Aligned | None:
         """A part on its own; before a line feed B gets a token of its own for the space that it adds."""
         if part[0] == " ":
             return self.whole(part[1:])
-        ids, pieces = self.a.encode(part, add_special_tokens=False).ids, self.b.encode(part, num_threads=1)
+        ids, pieces = self._a_ids(part), self.b.encode(part, num_threads=1)
         if self.b_bytes[pieces[0]] != b" ":
             raise ValueError("a piece goes on over a line feed")
         data = part.encode()
         found = self._cut(ids, pieces[1:], np.array([len(data)]), data)
         return found[0] if found else None
 
+    def _after_letter(self, mark: str) -> Aligned:
+        text = " a" + mark
+        return self._cut(self._a_ids(text), self.b.encode(text[1:], num_threads=1), np.array([2, len(mark)]), text.encode())[1]
+
     def _learn(self, parts: list[str]) -> None:
         """Alignments of parts, many of them as one text, whose cuts they are."""
         joined = [p for p in parts if not p[-1].isspace()]
@@ -158,8 +167,7 @@ class Aligner:
             text = " a" + "".join(some)
             data = text.encode()
             sizes = np.array([2, *(len(p.encode()) for p in some)])
-            ids = self.a.encode(text, add_special_tokens=False).ids
-            found = self._cut(ids, self.b.encode(text[1:], num_threads=1), sizes, data)
+            found = self._cut(self._a_ids(text), self.b.encode(text[1:], num_threads=1), sizes, data)
             self.fresh.update(zip(some, found[1:] if found else map(self._part, some), strict=True))
         self.fresh.update((p, self._part(p)) for p in parts if p[-1].isspace())
 
@@ -172,9 +180,21 @@ class Aligner:
         wanted = set().union(*cut) if cut else set()
         if len(self.fresh) > REMEMBERED:
             self.old, self.fresh = self.fresh, {}
-        for p in wanted & self.old.keys() - self.fresh.keys():
+        # Differences with a dictionary itself do not go through all of it, those with its keys do.
+        new = wanted.difference(self.fresh)
+        for p in [p for p in new if p in self.old]:
             self.fresh[p] = self.old[p]
-        self._learn(list(wanted - self.fresh.keys()))
+            new.discard(p)
+        # A word with a mark after it is the word and the mark.
+        tails = {p for p in new if p[-1] in self.mark_of and _LETTER.match(p, len(p) - 2)}
+        self._learn(list(new - tails | {p[:-1] for p in tails}.difference(self.fresh)))
+        for p in tails:
+            word, mark = self.fresh[p[:-1]], self.mark_of[p[-1]]
+            if word is None:
+                self.fresh[p] = None
+            else:
+                groups = word.groups + ";" + mark.groups
+                self.fresh[p] = Aligned(word.n_a + mark.n_a, word.n_b + mark.n_b, groups, word.pairs + mark.pairs)
         get = self.fresh.__getitem__
         out = []
         for parts in cut:
@@ -187,6 +207,10 @@ class Aligner:
 _BETWEEN = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
+#: Letters that both the split of A and this module call so.
+_LETTER = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
+
+
 def split_parts(text: str) -> list[str]:
     """Parts of a text, each with the space or line feed before it; the first has the space that both tokenizers add."""
     return _BETWEEN.split(" " + text) if text else []
