@@ -581,6 +581,18 @@ def q_cache_roundtrip(spark, sf_dir):
     return cache.compact(new_run_dir(spark, "cache")).read().select("hash_key", "response", "timestamp")
 
 
+def q_cache_point_lookup(spark, sf_dir):
+    """Cached replies to the documents marked toxic, from a cache of all documents' replies that was compacted between two writes."""
+    cache = replies_cache.ResponseCache(spark, new_run_dir(spark, "cache"))
+    rows = documents(spark, sf_dir).select("id", F.col("text").alias("question"), reply(F.col("id"), F.col("label")).alias("response"))
+    cache.put(replies_cache.cache_rows(rows.withColumn("response", F.lit("old")), MODEL, F.lit(0)))
+    cache.compact()
+    cache.put(replies_cache.cache_rows(rows, MODEL, F.col("id") + 1))
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
+    keys = rows.join(toxic, "id", "left_semi").select(cache_key(F.col("question"), MODEL).alias("hash_key"))
+    return cache.lookup(keys).select("hash_key", "response")
+
+
 # Training, prediction, the loop
 
 

@@ -457,4 +457,8 @@ def statements() -> dict[str, str]:
     sql["csv_roundtrip"] = f"WITH {DOCS} SELECT doc_id, md5(text) AS text_md5, label FROM docs"
     sql["cache_roundtrip"] = f"""WITH {DOCS} SELECT sha256(text || ':{MODEL}') AS hash_key, {reply('doc_id', 'label')} AS response,
       doc_id + 1 AS timestamp FROM docs QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id DESC) = 1"""
+    sql["cache_point_lookup"] = f"""WITH {DOCS}, newest AS (SELECT text, {reply('doc_id', 'label')} AS response FROM docs
+        QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id DESC) = 1)
+      SELECT sha256(text || ':{MODEL}') AS hash_key, response FROM newest WHERE length(response) > 0
+        AND text IN (SELECT text FROM docs JOIN labels USING (doc_id) WHERE toxic = 1)"""
     return sql
