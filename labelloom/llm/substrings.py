@@ -235,6 +235,16 @@ def ids_of(table: pa.Table) -> np.ndarray:
     return table.column("doc_id").fill_null(_NULL_ID).to_numpy()
 
 
+def _pack_facts(n: np.ndarray, twice: np.ndarray) -> bytes:
+    """Numbers of segments and whether a key is repeated in its chunk, by planes of bytes, most of which are zeros."""
+    facts = np.minimum(n, (1 << 31) - 1).astype("<u4") << np.uint32(1) | twice.astype("<u4")
+    return facts.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpack_facts(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4")[:, 0]
+
+
 def _send_keys(kind: Kind, n_buckets: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         s = kind.read(_in_order(table))
@@ -258,9 +268,7 @@ def _send_keys(kind: Kind, n_buckets: int):
         cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
         for b in np.unique(bucket).tolist():
             a, z = cuts[b], cuts[b + 1]
-            # The number of segments up to 127, and whether the key is repeated in this chunk.
-            facts = np.minimum(n[a:z], 127).astype(np.uint8) | (twice[a:z].astype(np.uint8) << 7)
-            rows.append((b, pack(keys[a:z]), facts.tobytes()))
+            rows.append((b, pack(keys[a:z]), _pack_facts(n[a:z], twice[a:z])))
         return pa.table(
             {
                 "bucket": pa.array([r[0] for r in rows], pa.int32()),
@@ -279,15 +287,15 @@ def _judge_keys(hot: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         parts = [unpack(k) for k in table.column("keys").to_pylist()]
         keys = np.concatenate(parts)
-        facts = np.frombuffer(b"".join(table.column("facts").to_pylist()), np.uint8)
+        facts = np.concatenate([_unpack_facts(x) for x in table.column("facts").to_pylist()])
         order = np.argsort(keys, kind="stable")
         ordered = keys[order]
         new = np.ones(len(keys), bool)
         new[1:] = ordered[1:] != ordered[:-1]
         heads = np.flatnonzero(new)
         chunks = np.diff(np.append(heads, len(keys)))
-        total = np.add.reduceat((facts[order] & 127).astype(np.int64), heads)
-        twice = np.maximum.reduceat(facts[order] >> 7, heads) > 0
+        total = np.add.reduceat((facts[order] >> np.uint32(1)).astype(np.int64), heads)
+        twice = np.maximum.reduceat(facts[order] & np.uint32(1), heads) > 0
         verdict = ((chunks > 1) | twice).astype(np.uint8) * (1 + (total > hot)).astype(np.uint8)
         flags = np.zeros(len(keys), np.uint8)
         flags[order] = np.repeat(verdict, chunks)
