@@ -42,7 +42,8 @@ SCHEMA = "doc_id bigint, shard int, shard_start bigint, n_tokens bigint, ids arr
 # are marked by a zero character.
 _CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 _WHOLE = re.compile(r"\0?[!-~\w](?:[!-~\w\n]*[!-~\w])?")
-_CACHE_PARTS = 400_000
+# Parts that a Python worker remembers, in each of two generations.
+_CACHE_PARTS = 250_000
 
 
 class Encoder:
@@ -63,6 +64,7 @@ class Encoder:
         self.opens = np.zeros(max(words.values(), default=0) + 1, bool)
         self.opens[[i for w, i in words.items() if w[:1] in "ĠĊ"]] = True
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
@@ -83,11 +85,12 @@ class Encoder:
     def _tail(self, part: str) -> bytes | None:
         """Ids of a known word with a mark after it, which is a piece of its own."""
         word, mark = part[:-1], part[-1]
-        if mark not in ".,;:!?" or word not in self.known or not word.isalpha() or max(word) > "\u024f":
+        ids = self.known.get(word) or self.old.get(word)
+        if mark not in ".,;:!?" or ids is None or not word.isalpha() or max(word) > "\u024f":
             return None
         if mark not in self.marks:
             self.marks[mark] = self.ids(mark).tobytes()
-        return self.known[word] + self.marks[mark]
+        return ids + self.marks[mark]
 
     def _uneven(self, text: str) -> bytes:
         """A text with other white space than single spaces and line feeds between printable characters."""
@@ -99,10 +102,13 @@ class Encoder:
         if not self.by_parts:
             return [self.ids(t or "").tobytes() for t in texts]
         if len(self.known) > _CACHE_PARTS:
-            self.known = {}
+            self.old, self.known = self.known, {}
         cut = [(t or "").replace("\n", " \0").split(" ") for t in texts]
         uneven = ["\0" in t if t else False for t in texts]
         new = set().union(*[set(parts[1:]).difference(self.known) for parts in cut])
+        for p in [p for p in new if p in self.old]:
+            self.known[p] = self.old[p]
+            new.discard(p)
         odd = {p for p in new if not _WHOLE.fullmatch(p) or "\n" in p}
         tails = []
         plain = []
@@ -126,6 +132,16 @@ class Encoder:
         return out
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """One for each Python worker, which keeps what it has met from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def encode_shards(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
     """Rows of :data:`SCHEMA`: documents in id order, dealt over shards of adjacent ids."""
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -135,7 +151,7 @@ def encode_shards(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", te
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, start, encoder = TaskContext.get().partitionId(), 0, Encoder(tokenizer)
+        shard, start, encoder = TaskContext.get().partitionId(), 0, _encoder(tokenizer)
         end = np.array([end_id], np.uint32).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 250):

@@ -307,3 +307,23 @@ def test_orc_metadata(spark, sf_dir, tmp_path):
     files = [f.path for f in fs.LocalFileSystem().get_file_info(fs.FileSelector(f"{tmp_path}/t")) if f.path.endswith(".orc")]
     assert files and sum(orc.ORCFile(f).nrows for f in files) == 200
     assert all(orc.ORCFile(f).row_index_stride == 2000 for f in files)
+
+
+def test_remembered_parts_overflow(monkeypatch):
+    """Ids stay those of whole texts while parts are forgotten and met again."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_store, "_CACHE_PARTS", 30)
+    plain = Tokenizer.from_file(queries.tokenizer_file())
+    encoder = token_store.Encoder(queries.tokenizer_file())
+    rng = random.Random(4)
+    words = [w + m for w in ("the", "cat", "Ünder", "naïve", "x9", "e-mail", "123", *(f"word{i}" for i in range(80))) for m in ("", ".", ",", "!?")]
+    forgotten = 0
+    for _ in range(60):
+        texts = [" ".join(rng.choices(words, k=25)) + rng.choice(["", "\n", "\nend", "  "]) for _ in range(3)]
+        before = set(encoder.old)
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [
+            plain.encode(t, add_special_tokens=False).ids for t in texts
+        ]
+        forgotten += bool(before - set(encoder.old) - set(encoder.known))
+    assert forgotten > 3

@@ -127,3 +127,25 @@ def test_suffix_array_order_and_merge():
 def test_packing():
     for values in ([], [0], [5, 5, 2**48 - 1], sorted(random.Random(1).sample(range(2**48), 1000))):
         assert unpack(pack(np.array(values, U))).tolist() == values
+
+
+def test_keys_are_hot_by_all_their_segments():
+    """At the default limit: 30,000 segments of one key in four chunks, beside keys of a few."""
+    import pyarrow as pa
+
+    from labelloom.llm import substrings
+
+    keys = np.array([5, 9, 12], np.uint64)
+    parts = [(keys, np.array([7_500, 4_999, 1]), np.zeros(3, bool))] * 4
+    table = pa.table(
+        {
+            "bucket": pa.array([0] * 4, pa.int32()),
+            "chunk": pa.array(range(4), pa.int32()),
+            "keys": pa.array([substrings.pack(k) for k, _, _ in parts], pa.binary()),
+            "facts": pa.array([substrings._pack_facts(n, t) for _, n, t in parts], pa.binary()),
+        }
+    )
+    flags = substrings._judge_keys(substrings.HOT_SEGMENTS)((), table).column("flags").to_pylist()
+    assert [list(f) for f in flags] == [[2, 1, 1]] * 4
+    alone = table.slice(0, 1).set_column(3, "facts", pa.array([substrings._pack_facts(np.array([30_000, 2, 1]), np.array([True, True, False]))]))
+    assert list(substrings._judge_keys(substrings.HOT_SEGMENTS)((), alone).column("flags")[0].as_py()) == [2, 1, 0]
