@@ -167,6 +167,21 @@ def q_prediction_report(spark, sf_dir):
     return metrics.prediction_report(read, predicted="matched_label")
 
 
+def q_empty_accuracy(spark, sf_dir):
+    """Accuracy of calling every document English: over all of them, and over those of a language there is none of."""
+    guessed = document_labels(spark, sf_dir).withColumn("predicted_label", F.lit("english"))
+    parts = [("all", guessed), ("none", guessed.where(F.col("label") == "klingon"))]
+    found = [metrics.accuracy(rows).select(F.lit(name).alias("rows"), "total", "correct", r6(F.col("accuracy")).alias("accuracy")) for name, rows in parts]
+    return corpora.union_splits(*found)
+
+
+def q_present_labels(spark, sf_dir):
+    """Languages that the toxic documents have, of those there are, with their place in the list."""
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
+    names = ann.present_labels(document_labels(spark, sf_dir).join(toxic, "id", "left_semi"), LABELS)
+    return spark.createDataFrame([(name, LABELS.index(name)) for name in names], "label string, place int")
+
+
 def q_label_encode(spark, sf_dir):
     index = encode_label(F.col("label"), LABELS)
     rows = document_labels(spark, sf_dir).withColumn("label_index", index)
@@ -641,6 +656,13 @@ def q_predict_confidence(spark, sf_dir):
     )
 
 
+def q_vector_predictions(spark, sf_dir):
+    """Label and confidence that a classifier learned from the vectors gives each of them."""
+    rows = vectors(spark, sf_dir).select("id", "embedding", "label")
+    model, _ = train_robust(rows, [str(i) for i in range(CLASSES)], stages=3)
+    return model.predict(rows).select(F.col("id").alias("vec_id"), "label", "predicted_label", r6(F.col("confidence")).alias("confidence"))
+
+
 def q_examples_by_strategy(spark, sf_dir):
     """Examples per class by each strategy; the confident ones by a model's own confidence in the rows."""
     rows = vectors(spark, sf_dir).select("id", "embedding", "label")

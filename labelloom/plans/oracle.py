@@ -457,6 +457,11 @@ def statements() -> dict[str, str]:
     sql["csv_roundtrip"] = f"WITH {DOCS} SELECT doc_id, md5(text) AS text_md5, label FROM docs"
     sql["cache_roundtrip"] = f"""WITH {DOCS} SELECT sha256(text || ':{MODEL}') AS hash_key, {reply('doc_id', 'label')} AS response,
       doc_id + 1 AS timestamp FROM docs QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id DESC) = 1"""
+    sql["empty_accuracy"] = f"""WITH {DOCS} SELECT 'all' AS rows, count(*) AS total, count(*) FILTER (label = 'english') AS correct,
+      round(count(*) FILTER (label = 'english') / count(*), 6) AS accuracy FROM docs UNION ALL SELECT 'none', 0, 0, 0"""
+    places = " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(LABELS))
+    sql["present_labels"] = f"""WITH {DOCS} SELECT DISTINCT label, CAST(CASE label {places} END AS INTEGER) AS place
+      FROM docs JOIN labels USING (doc_id) WHERE toxic = 1 AND label IS NOT NULL"""
     sql["cache_point_lookup"] = f"""WITH {DOCS}, newest AS (SELECT text, {reply('doc_id', 'label')} AS response FROM docs
         QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id DESC) = 1)
       SELECT sha256(text || ':{MODEL}') AS hash_key, response FROM newest WHERE length(response) > 0
