@@ -103,9 +103,12 @@ class Encoder:
             return [self.ids(t or "").tobytes() for t in texts]
         if len(self.known) > _CACHE_PARTS:
             self.old, self.known = self.known, {}
-        cut = [(t or "").replace("\n", " \0").split(" ") for t in texts]
-        uneven = ["\0" in t if t else False for t in texts]
-        new = set().union(*[set(parts[1:]).difference(self.known) for parts in cut])
+        heads, cut = [], []
+        for t in texts:
+            head, space, rest = (t or "").replace("\n", " \0").partition(" ")
+            heads.append(head)
+            cut.append(rest.split(" ") if space else [])
+        new = set().union(*cut).difference(self.known)
         for p in [p for p in new if p in self.old]:
             self.known[p] = self.old[p]
             new.discard(p)
@@ -123,12 +126,19 @@ class Encoder:
             else:
                 self.known[p] = ids
         self._learn(left)
+        # Odd parts have no ids of their own: joining fails on them, and the text is encoded by itself.
+        self.known.update(dict.fromkeys(odd))
         get, out = self.known.__getitem__, []
-        for text, parts, zero in zip(texts, cut, uneven, strict=True):
-            if zero or (odd and not odd.isdisjoint(parts[1:])) or (len(parts) > 1 and not _WHOLE.fullmatch(parts[0])):
+        for text, head, parts in zip(texts, heads, cut, strict=True):
+            if (text and "\0" in text) or (parts and not _WHOLE.fullmatch(head)):
                 out.append(self._uneven(text or ""))
-            else:
-                out.append(self.ids(parts[0]).tobytes() + b"".join(map(get, parts[1:])))
+                continue
+            try:
+                out.append(self.ids(head).tobytes() + b"".join(map(get, parts)))
+            except TypeError:
+                out.append(self._uneven(text))
+        for p in odd:
+            del self.known[p]
         return out
 
 
