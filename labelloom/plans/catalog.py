@@ -306,6 +306,25 @@ def q_reply_outcomes(spark, sf_dir):
     return rejects.select("custom_id", "status", F.md5("text").alias("text_md5"))
 
 
+def q_batch_retries(spark, sf_dir):
+    """Batches of all distinct texts, sent up to three times to a service that fails on requests and on whole batches."""
+    rows = documents(spark, sf_dir)
+
+    def ask(requests, prompt):
+        attempt = F.col("attempt")
+        sent = requests.where(uniform(5, attempt, F.col("custom_id")) >= 0.05)
+        failed = (uniform(8, attempt, F.col("batch")) < 0.2) | (uniform(4, attempt, F.col("custom_id")) < 0.1)
+        return sent.select(
+            "custom_id",
+            F.when(failed, "errored").otherwise("succeeded").alias("status"),
+            F.when(~failed, F.concat(F.lit(LABELS[0] + ",0."), attempt)).alias("response"),
+        )
+
+    prompt = ann.Prompt(ann.system_prompt(LABELS), TASK)
+    job = ann.annotate(rows.select("id", "text"), prompt, LABELS, ask, MODEL, attempts=3)
+    return job.ledger.select("attempt", "batch", "asked", "answered", "failed")
+
+
 def q_task_prompt(spark, sf_dir):
     """The part of a request that follows the system prompt."""
     prompt = ann.build_prompt(_demonstrations(spark, sf_dir), LABELS, TASK)

@@ -314,6 +314,15 @@ def statements() -> dict[str, str]:
       QUALIFY row_number() OVER (PARTITION BY question ORDER BY late DESC, ts DESC) = 1"""
     sql["annotate_requests"] = f"""WITH {REQUESTS} SELECT custom_id, batch, sha256(text || ':{MODEL}') AS hash_key,
       md5('Example: ' || text) AS content_md5, '{MODEL}' AS model, 1024 AS max_tokens FROM requests"""
+    fails = f"({u(5, 'a', 'custom_id')} < 0.05 OR {u(8, 'a', 'batch')} < 0.2 OR {u(4, 'a', 'custom_id')} < 0.1)"
+    sql["batch_retries"] = f"""WITH uniq AS (SELECT text, min(doc_id) AS id FROM documents GROUP BY text),
+      placed AS (SELECT row_number() OVER (ORDER BY id) - 1 AS i FROM uniq),
+      named AS (SELECT 'q' || i AS custom_id, i // 100 AS batch FROM placed),
+      tried AS (SELECT custom_id, batch, a, {fails} AS fails FROM named, range(1, 4) t(a)),
+      sent AS (SELECT *, coalesce(min(fails::INTEGER) OVER (PARTITION BY custom_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS open
+        FROM tried)
+      SELECT a::INTEGER AS attempt, batch, count(*) AS asked, count(*) FILTER (NOT fails) AS answered, count(*) FILTER (fails) AS failed
+      FROM sent WHERE open = 1 GROUP BY a, batch"""
     sql["reply_outcomes"] = f"WITH {JOB} SELECT custom_id, status, md5(text) AS text_md5 FROM outcomes WHERE status <> 'succeeded'"
     demos = f"""{DOCS}, demos AS (SELECT * FROM docs QUALIFY row_number() OVER (PARTITION BY label ORDER BY {key(42, 'doc_id')}) <= 3),
       placed AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM demos)"""
