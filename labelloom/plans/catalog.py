@@ -28,7 +28,7 @@ from labelloom.functions.vectors import (
     softmax,
 )
 from labelloom.operators import annotate as ann
-from labelloom.operators import diversity, metrics, noise, sampling
+from labelloom.operators import diversity, label_index, metrics, noise, sampling
 from labelloom.operators.augment import drop_words, expand_corpus, mangle, mixup
 from labelloom.operators.classify import Classifier, embed, train_robust
 from labelloom.operators.embedding import fit_pooler
@@ -139,6 +139,27 @@ def q_label_match(spark, sf_dir):
     return replied(spark, sf_dir).select(F.col("id").alias("doc_id"), "raw_label", "matched_label")
 
 
+def q_label_match_table(spark, sf_dir):
+    """Misspelt descriptions of parts matched with the table of all descriptions."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("label"))
+    labels = parts.groupBy("label").agg(F.min("p_partkey").alias("position"))
+    x, at, n = F.col("label"), F.col("p_partkey") % 7 + 1, F.col("p_partkey") % 6
+
+    def changed(length: int, by: str) -> Column:
+        return F.concat(F.substring(x, F.lit(1), at), F.lit(by), F.substring(x, at + 1 + length, F.lit(99)))
+
+    raw = F.coalesce(
+        F.when(n == 0, F.concat(F.lit(" "), F.upper(x))),
+        F.when(n == 1, changed(1, "")),
+        F.when(n == 2, changed(2, "")),
+        F.when(n == 3, changed(1, "qz")),
+        F.when(n == 4, changed(3, "qqq")),
+        F.lit("nothing of the kind"),
+    )
+    rows = label_index.match_labels(parts.select("p_partkey", raw.alias("raw_label")), labels, row_id="p_partkey")
+    return rows.select("p_partkey", "raw_label", "matched_label")
+
+
 def q_confidence_score(spark, sf_dir):
     return replied(spark, sf_dir).groupBy("matched_label", "confidence_score").agg(F.count(F.lit(1)).alias("n"))
 

@@ -286,6 +286,16 @@ def statements() -> dict[str, str]:
         || ', o_orderpriority: ' || coalesce(p, 'nan') AS full_text FROM o"""
     sql["response_parse"] = f"WITH {REPLIED} SELECT doc_id, response, raw_label, confidence FROM scored"
     sql["label_match"] = f"WITH {REPLIED} SELECT doc_id, raw_label, matched_label FROM scored"
+    sql["label_match_table"] = """WITH named AS (SELECT p_partkey, p_name || ' ' || p_brand || ' ' || p_type AS label FROM part),
+      names AS (SELECT label, lower(label) AS form, min(p_partkey) AS pos FROM named GROUP BY label),
+      cut AS (SELECT *, substr(label, 1, p_partkey % 7 + 1) AS a, substr(label, p_partkey % 7 + 2) AS b FROM named),
+      raws AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN ' ' || upper(label) WHEN 1 THEN a || substr(b, 2) WHEN 2 THEN a || substr(b, 3)
+        WHEN 3 THEN a || 'qz' || substr(b, 2) WHEN 4 THEN a || 'qqq' || substr(b, 4) ELSE 'nothing of the kind' END AS raw_label FROM cut),
+      forms AS (SELECT DISTINCT raw_label, lower(trim(raw_label)) AS clean FROM raws),
+      near AS (SELECT raw_label, arg_min(label, levenshtein(clean, form) * 1000000000 + pos) AS best, min(levenshtein(clean, form)) AS edits
+        FROM forms, names WHERE abs(length(clean) - length(form)) <= 2 GROUP BY raw_label)
+      SELECT p_partkey, raw_label, CASE WHEN edits <= 2 AND edits <= length(best) / 2.0::DOUBLE THEN best ELSE raw_label END AS matched_label
+      FROM raws LEFT JOIN near USING (raw_label)"""
     sql["confidence_score"] = f"WITH {REPLIED} SELECT matched_label, confidence_score, count(*) AS n FROM scored GROUP BY ALL"
     sql["label_accuracy"] = f"""WITH {REPLIED} SELECT matched_label, quality, count(*) AS n,
       count(*) FILTER (matched_label = label) AS correct,
