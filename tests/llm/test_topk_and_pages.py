@@ -16,7 +16,7 @@ def brute(rows, k):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_rows": 60, "block_rows": 4, "run_rows": 16}])
+@pytest.mark.parametrize("options", [{}, {"shard_rows": 60, "block_bytes": 300, "run_rows": 16, "step_rows": 5}])
 def test_top_k(spark, options):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=8) * (1 + i % 7)]) for i in range(300)]
@@ -29,6 +29,30 @@ def test_top_k(spark, options):
     assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in got} == expected
 
 
+@pytest.mark.parametrize("run_rows", [64, 5000])
+def test_pairs_below_the_bound_are_not_scored(run_rows):
+    rng = np.random.default_rng(4)
+    c = np.floor(64 * rng.normal(size=(4000, 32)) * 0.8 ** np.arange(32) * rng.uniform(0.7, 1.3, size=(4000, 1)))
+    ids, q = np.arange(4000), c[::40]
+    turn = np.linalg.svd(c.T @ c)[0]
+    products = q @ c.T
+
+    def expected(i):
+        return sorted((-int(products[i, j]), j) for j in range(4000) if j != 40 * i)[:20]
+
+    def check(floor):
+        got_q, got_i, got_s, scored = topk.search(ids[::40], q, floor, ids, c, 20, turn, run_rows, 30)
+        for i in range(100):
+            at = got_q == 40 * i
+            assert list(zip(-got_s[at], got_i[at], strict=True)) == expected(i)
+        return scored
+
+    blind = check(np.full(100, -np.inf))
+    known = check(np.array([-expected(i)[-1][0] for i in range(100)], float))
+    assert known < 0.05 * 400_000  # floors from other shards
+    assert known <= blind <= 400_000 and (run_rows > 4000 or blind < 0.3 * 400_000)
+
+
 def test_top_k_few_rows(spark):
     one = spark.createDataFrame([(0, [1.0, 0.5])], "vec_id long, embedding array<double>")
     assert topk.top_k(one, F.lit(True)).count() == 0
