@@ -3,8 +3,12 @@
 Tags go through a tree builder: a stack of open elements, to which implied tags are added and
 from which elements that a tag closes by implication are taken (a paragraph by a block, an
 item by the next item, a cell by the next cell, a head by content). Text is emitted if no open element is
-hidden: by kind (head, script, style, template, …), by attribute (hidden, closed dialog or details), or by
-``display: none`` or ``visibility: hidden`` in its own style or in a style sheet's rule for one tag, class or id.
+hidden: by kind (head, script, style, template, …), by attribute (hidden, closed dialog or details), or by ``display: none``;
+and if the innermost element that says so is visible (``visibility`` is inherited and may be set again inside).
+Both properties come from the element's own style and from the style sheets before it: selectors of tags, ids and classes, compound, inside
+others (``a b``) or right below them (``a > b``), by importance, specificity and order; rules of other selectors
+(attributes, states, siblings) are passed over. Rules for media count if a screen ``SCREEN`` pixels wide has them; what is asked of a medium
+besides its width is taken as not given. ``html`` and ``body`` are always seen.
 
 Layout: white space collapses outside ``pre``; blocks begin new lines, and paragraphs, headings, lists, quotes and tables
 are set off by an empty line; items get a mark or number and an indent; cells of a table
@@ -19,6 +23,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_right
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,9 +69,155 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_SIMPLE = re.compile(r"[.#]?[\w-]+")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_CSS_MARK = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'|([{};])")
+_COMPOUND = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
+_MEDIUM = re.compile(r"(?:(not|only)\s+)?([a-z-]+)?((?:\s*(?:and)?\s*\([^()]*\))*)")
+_WIDTH = re.compile(r"(min|max)-width\s*:\s*([0-9.]+)(px|em|rem)")
+# Width of the screen that rules for media are read for, and pixels of an em.
+SCREEN, EM = 1280, 16
+
+
+def on_screen(query: str) -> bool:
+    """Whether a list of media has the screen; an empty one does."""
+    return not query.strip() or any(_has_screen(q.strip().lower()) for q in query.split(","))
+
+
+def _has_screen(query: str) -> bool:
+    found = _MEDIUM.fullmatch(query)
+    if found is None:
+        return False
+    holds = found[2] in (None, "all", "screen")
+    for feature in re.findall(r"\(([^()]*)\)", found[3]):
+        width = _WIDTH.fullmatch(feature.strip())
+        if width is None or not re.fullmatch(r"[0-9]+\.?[0-9]*|\.[0-9]+", width[2]):
+            return False
+        limit = float(width[2]) * (1 if width[3] == "px" else EM)
+        holds = holds and (SCREEN >= limit if width[1] == "min" else SCREEN <= limit)
+    return holds != (found[1] == "not")
+
+
+def declared(body: str) -> dict[str, tuple[bool, str]]:
+    """Importance and value of ``display`` and ``visibility`` among declarations, where they are given."""
+    found: dict[str, tuple[bool, str]] = {}
+    for declaration in body.split(";"):
+        name, colon, value = declaration.partition(":")
+        name = name.strip().lower()
+        if colon and name in ("display", "visibility"):
+            value, mark, _ = value.strip().lower().partition("!")
+            if value.strip() and (bool(mark) or not found.get(name, (False, ""))[0]):
+                found[name] = (bool(mark), value.strip())
+    return found
+
+
+def selector(text: str) -> tuple[list[tuple[frozenset, bool]], tuple[int, int, int]] | None:
+    """Compounds from the outermost in, each with whether it is right below the last, and the specificity; None if unknown."""
+    chain: list[tuple[frozenset, bool]] = []
+    weight = [0, 0, 0]
+    below = False
+    for part in text.replace(">", " > ").split():
+        if part == ">":
+            if below or not chain:
+                return None
+            below = True
+            continue
+        found = _COMPOUND.fullmatch(part)
+        if found is None:
+            return None
+        marks = re.findall(r"[.#][\w-]+", found[2])
+        weight[0] += sum(m[0] == "#" for m in marks)
+        weight[1] += sum(m[0] == "." for m in marks)
+        if found[1] and found[1] != "*":
+            marks.append(found[1].lower())
+            weight[2] += 1
+        chain.append((frozenset(marks), below))
+        below = False
+    return None if below or not chain else (chain, (weight[0], weight[1], weight[2]))
+
+
+def marks_of(name: str, values: dict[str, str]) -> frozenset:
+    """What selectors find an element by: its tag, #id and .classes."""
+    own = ["#" + values["id"]] if values.get("id") else []
+    return frozenset([name, *own, *["." + c for c in values.get("class", "").split()]])
+
+
+class Sheet:
+    """Rules on ``display`` and ``visibility``, by a mark (tag, #id, .class) that their element has."""
+
+    def __init__(self) -> None:
+        self.by_mark: dict[str, list] = {}
+        self.order = 0
+
+    def add(self, css: str) -> None:
+        css = _COMMENT.sub(" ", css)
+        blocks: list[bool] = []  # of the at-rules that are open, whether what is inside counts
+        at = 0
+        while (found := self._mark(css, at)) is not None:
+            before, at = css[at : found.start()].strip(), found.end()
+            if found[1] == "}":
+                if blocks:
+                    blocks.pop()
+            elif found[1] == "{" and before.startswith("@"):
+                kind, _, query = before[1:].replace("(", " (", 1).partition(" ")
+                kind = kind.lower()
+                blocks.append(kind == "layer" or (kind == "media" and on_screen(query)) or (kind == "supports" and not query.strip().lower().startswith("not")))
+            elif found[1] == "{":
+                end = at
+                while (found := self._mark(css, end)) is not None and found[1] == ";":
+                    end = found.end()
+                body, at = css[at : found.start() if found else len(css)], found.end() if found else len(css)
+                if all(blocks):
+                    self._rule(before, declared(body))
+
+    def _mark(self, css: str, at: int) -> re.Match | None:
+        found = _CSS_MARK.search(css, at)
+        while found is not None and not found[1]:
+            found = _CSS_MARK.search(css, found.end())
+        return found
+
+    def _rule(self, selectors: str, properties: dict[str, tuple[bool, str]]) -> None:
+        if properties:
+            self.order += 1
+            for found in map(selector, selectors.split(",")):
+                if found is not None:
+                    chain, weight = found
+                    rule = (chain, (weight, self.order), properties)
+                    self.by_mark.setdefault(min(chain[-1][0], default="*"), []).append(rule)
+
+    def style(self, marks: frozenset, above: Callable[[], list[frozenset]], own: dict[str, tuple[bool, str]]) -> dict[str, str]:
+        """Values that win for an element with ``marks``; ``above`` gives those of the elements around it, if a rule asks."""
+        won: dict[str, tuple] = {}
+        around = None
+        for mark in (*marks, "*"):
+            for chain, rank, properties in self.by_mark.get(mark, ()):
+                if not chain[-1][0] <= marks:
+                    continue
+                if len(chain) > 1 and around is None:
+                    around = above()
+                if len(chain) == 1 or _inside(chain, around):
+                    for name, (important, value) in properties.items():
+                        won[name] = max(won.get(name, (False,)), (important, False, rank, value))
+        for name, (important, value) in own.items():
+            won[name] = max(won.get(name, (False,)), (important, True, value))
+        return {name: found[-1] for name, found in won.items()}
+
+
+def _inside(chain: list[tuple[frozenset, bool]], above: list[frozenset]) -> bool:
+    """Whether elements of ``above``, from the outermost in, match all of ``chain`` but its last part."""
+    ends = [False] * len(above)  # whether the parts so far match with the last of them here
+    for n, (marks, below) in enumerate(chain):
+        last = n == len(chain) - 1
+        if last and below:
+            return bool(ends) and ends[-1]
+        if last:
+            return any(ends)
+        earlier, found = n == 0, []
+        for at, here in enumerate(above):
+            fits = (at > 0 and ends[at - 1]) if below else earlier
+            found.append(fits and marks <= here)
+            earlier = earlier or ends[at]
+        ends = found
+    return False
 
 
 def unfold(entries: list) -> list[str]:
@@ -194,7 +345,10 @@ class Page:
         self.places: dict[str, list[int]] = {}
         self.frames = [Frame()]
         self.pre = 0
-        self.hiding: set[str] = set()
+        self.sheet = Sheet()
+        self.roots = {"html": frozenset({"html"}), "body": frozenset({"body"})}
+        self.given: list[tuple[str, dict[str, str]]] = []  # name and attributes of the open elements
+        self.visible = [True]  # of the page and the open elements
 
     def hidden(self) -> bool:
         return bool(self.open) and self.open[-1][1]
@@ -220,6 +374,8 @@ class Page:
 
     def _pop(self) -> None:
         name, hidden, box, _ = self.open.pop()
+        self.given.pop()
+        self.visible.pop()
         places = self.places[name]
         places.pop()
         if not places:
@@ -262,6 +418,8 @@ class Page:
                 self._close_to(len(self.open) - 1)
                 self.text(text)
             return
+        if not self.visible[-1]:
+            text = " " if not self.pre else ""  # its place is left open
         if "&" in text:
             text = html.unescape(text)
         frame = self.frames[-1]
@@ -274,7 +432,12 @@ class Page:
     def start(self, name: str, attributes: str) -> None:
         if self.open and self.open[-1][0] == "head" and name not in HEAD_ONLY:
             self._close_to(len(self.open) - 1)
-        if name in ("html", "body"):
+        values = {}
+        if attributes:
+            for a in _ATTRIBUTE.finditer(attributes):
+                values.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")
+        if name in self.roots:
+            self.roots[name] |= marks_of(name, values)
             return
         if name in CLOSES_P:
             self._close_to(self._depth({"p"}, FENCES))
@@ -283,10 +446,6 @@ class Page:
         if name in ENDS:
             ended, fences = ENDS[name]
             self._close_to(self._depth(ended, fences | FENCES))
-        values = {}
-        if attributes:
-            for a in _ATTRIBUTE.finditer(attributes):
-                values.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")
         table = None
         if name in SECTIONS or name == "tr" or name in CELLS or name == "caption":
             at = self._depth({"table"}, set())
@@ -303,7 +462,11 @@ class Page:
             else:
                 self._close_to(at + 1)
             table = self.open[at][2]
-        seen = not self.hidden() and not self._hides(name, values)
+        style = {}
+        if self.sheet.by_mark or "style" in values:
+            own = declared(_COMMENT.sub(" ", values.get("style", "")))
+            style = self.sheet.style(marks_of(name, values), self._above, own)
+        seen = not self.hidden() and not self._hides(name, values, style.get("display"))
         if name in VOID:
             if seen and name == "br":
                 self.frames[-1].inline.append("\n")
@@ -336,18 +499,21 @@ class Page:
             number = int("open" not in values)  # closed: only its summary is seen
         self.places.setdefault(name, []).append(len(self.open))
         self.open.append([name, not seen, box, number])
+        self.given.append((name, values))
+        shown = style.get("visibility")
+        self.visible.append(shown == "visible" if shown in ("visible", "hidden", "collapse") else self.visible[-1])
+
+    def _above(self) -> list[frozenset]:
+        return [*self.roots.values(), *[marks_of(*x) for x in self.given]]
 
-    def _hides(self, name: str, values: dict[str, str]) -> bool:
-        if name in UNSEEN or "hidden" in values or (name == "dialog" and "open" not in values):
+    def _hides(self, name: str, values: dict[str, str], display: str | None) -> bool:
+        if name in UNSEEN:
             return True
         if self.open and self.open[-1][0] == "details" and self.open[-1][3] and name != "summary":
             return True
-        if "style" in values and _HIDING.search(values["style"]):
-            return True
-        if self.hiding:
-            marks = {name, "#" + values.get("id", ""), *["." + c for c in values.get("class", "").split()]}
-            return not self.hiding.isdisjoint(marks)
-        return False
+        if display is not None:
+            return display == "none"
+        return "hidden" in values or (name == "dialog" and "open" not in values)
 
     def end(self, name: str) -> None:
         if name == "br":
@@ -357,11 +523,6 @@ class Page:
             names = HEADINGS if name in HEADINGS else {name}
             self._close_to(self._depth(names, fences))
 
-    def rules(self, sheet: str) -> None:
-        for rule in _RULE.finditer(re.sub(r"/\*.*?(\*/|\Z)", "", sheet, flags=re.S)):
-            if _HIDING.search(rule[2]):
-                self.hiding.update(s for s in (x.strip() for x in rule[1].split(",")) if _SIMPLE.fullmatch(s))
-
     def render(self, source: str) -> str:
         at = 0
         while at < len(source):
@@ -380,7 +541,9 @@ class Page:
                     stop = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(source, at) if name != "plaintext" else None
                     inner = source[at : stop.start() if stop else len(source)]
                     if name == "style":
-                        self.rules(inner)
+                        media = next((a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(attributes or "") if a[1].lower() == "media"), "")
+                        if on_screen(media) and not {"noscript", "template"} & self.places.keys():
+                            self.sheet.add(inner)
                     elif inner:
                         self.text(inner)
                     at = stop.start() if stop else len(source)

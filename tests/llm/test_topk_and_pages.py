@@ -85,6 +85,32 @@ PAGES = [
     ("<pre>a\n  b</pre>c", "a\n  b\n\nc"),
     ("<head><title>t</title><script>s</script>body", "body"),
     ("<style>.h,#i{display:none}</style><p class='g h'>no<p id=i>no<p>yes", "yes"),
+    ("<style>@media print{p{display:none}} @media (max-width:600px){p{display:none}}</style><p>yes", "yes"),
+    ("<style>@media screen and (min-width: 40em){.a{display:none}} @media not print{.b{display:none}}</style><p class=a>no<p class=b>no<p>yes", "yes"),
+    ("<style>@media (prefers-color-scheme: dark), print{p{display:none}}</style><p>yes", "yes"),
+    ("<style media=print>p{display:none}</style><p>yes", "yes"),
+    ("<noscript><style>p{display:none}</style></noscript><p>yes", "yes"),
+    ("<style>.b{display:none}.b{display:block}</style><p class=b>yes", "yes"),
+    ("<style>.b{display:none !important}.b{display:block}</style><p class=b style='display:block'>no<p>yes", "yes"),
+    ("<style>p.b{display:none}.b{display:block}</style><p class=b>no<div class=b>yes</div>", "yes"),
+    ("<style>#i{display:block}.b.c{display:none}</style><p class='b c'>no<p class=b>yes<p id=i class='b c'>too", "yes\n\ntoo"),
+    ("<style>.b{display:none}</style><p class=b style='display:block'>yes", "yes"),
+    ("<style>.a .b{display:none}</style><div class=a><p><span class=b>no</span>yes</div><span class=b>too</span>", "yes\n\ntoo"),
+    ("<style>.a>.b{display:none}</style><div class=a><b class=b>no</b><i><b class=b>yes</b></i></div>", "yes"),
+    ("<style>.x .a>b{display:none}</style><div class=x><u class=a><u class=c><b>yes</b></u><b>no</b></u></div>", "yes"),
+    ("<body class=w><style>body.w p, html body .q{display:none}</style><p>no</p><i class=q>no</i>yes", "yes"),
+    ("<style>p:hover,a[href],p+p,li::before{display:none}</style><p>yes<p>too", "yes\n\ntoo"),
+    ("<style>@font-face{font-family:x;src:url(a)}@import 'x';@keyframes k{from{display:none}p{display:none}}i{display:none}</style><p>yes<i>no</i>", "yes"),
+    ("<style>p::after{content:'}p{display:none}'}</style><p>yes", "yes"),
+    ("<style>*{display:none}p{display:block}</style><div>no</div><p>yes", "yes"),
+    ("<p style='--x-display:none'>yes", "yes"),
+    ("<p style='visibility:hidden'>no <b style='visibility:visible'>yes</b> no", "yes"),
+    ("a<span style='visibility:hidden'>no</span>b", "a b"),
+    ("<style>.m{visibility:hidden}.n{visibility:visible}</style><div class=m><p>no<p class=n>yes</div>z", "yes\n\nz"),
+    ("<div style='display:none'><p style='display:block;visibility:visible'>no</div>yes", "yes"),
+    ("<p hidden style='display:block'>yes", "yes"),
+    ("<style>p{display:none", ""),
+    ("<style>}}p{display:none}</style><p>no</p>yes", "yes"),
     ("<p hidden>no</p><p style='DISPLAY : none'>no</p><template>no</template>yes", "yes"),
     ("<details>no<summary>S</summary>no</details><details open><summary>T</summary>in</details>", "S\nT\nin"),
     ("<a href='x>y' title=\"</p>\">l</a><!-- <p>no -->&amp;&lt;&nbsp;&#233;", "l&<\xa0é"),
