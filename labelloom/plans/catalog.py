@@ -32,6 +32,7 @@ from labelloom.operators import diversity, label_index, metrics, noise, sampling
 from labelloom.operators.augment import drop_words, expand_corpus, mangle, mixup
 from labelloom.operators.classify import Classifier, embed, train_robust
 from labelloom.operators.embedding import fit_pooler
+from labelloom.operators.joins import fan_out_join
 from labelloom.plans.loop import label_loop, latest_annotations, pending_texts, training_rows
 from labelloom.session import new_run_dir, spread
 from labelloom.sources import cache as replies_cache
@@ -270,9 +271,11 @@ def q_cache_key(spark, sf_dir):
 
 def q_cache_split(spark, sf_dir):
     """Replies that the cache had, by document."""
-    job = _job(spark, sf_dir)
-    hits = job.results.where("cached").select("id", F.lit(True).alias("hit"), "raw_label")
-    rows = documents(spark, sf_dir).select("id").join(hits, "id", "left")
+    cache = replies_cache.ResponseCache(spark, new_run_dir(spark, "cache"))
+    cache.put(_written(spark, sf_dir))
+    keyed = ann.keyed_texts(documents(spark, sf_dir), MODEL).select("id", "hash_key")
+    hits = read_replies(cache.lookup(keyed), LABELS).select("hash_key", F.lit(True).alias("hit"), "raw_label")
+    rows = fan_out_join(keyed, hits, "hash_key", "id", "left")
     return rows.select(F.col("id").alias("doc_id"), F.coalesce("hit", F.lit(False)).alias("hit"), "raw_label")
 
 
