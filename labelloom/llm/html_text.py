@@ -80,7 +80,7 @@ SCREEN, EM = 1280, 16
 
 def on_screen(query: str) -> bool:
     """Whether a list of media has the screen; an empty one does."""
-    return not query.strip() or any(_has_screen(q.strip().lower()) for q in query.split(","))
+    return not query.strip() or any(_has_screen(" ".join(q.lower().split())) for q in query.split(","))
 
 
 def _has_screen(query: str) -> bool:
