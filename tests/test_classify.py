@@ -109,3 +109,16 @@ def test_metrics(spark):
     assert [r["mark"] for r in report] == ["✓", "✗"] and report[0]["preview"] == "x" * 100 + "..."
     rounds = spark.createDataFrame([(1, 0.5), (2, 0.6), (3, 0.604), (4, 0.55)], "round int, val_accuracy double")
     assert [r["stop"] for r in M.with_gain(rounds).orderBy("round").collect()] == [False, False, True, True]
+
+
+def test_stored_variants_train_as_texts_do(spark):
+    rows = spark.range(60).selectExpr(
+        "id", "concat(if(id % 2 = 0, 'apple pear fig plum ', 'saw drill file vise '), 'word', id % 7, ' again') AS text", "if(id % 2 = 0, 'fruit', 'tool') AS label"
+    )
+    encoder = C.text_encoder(64)
+    model, stats = C.train_robust(rows, LABELS, stages=3, encoder=encoder, seed=5)
+    ready = C.with_variants(rows, encoder, 3, seed=5)
+    # With the variants at hand texts are not looked at.
+    again, stored = C.train_robust(ready.withColumn("text", F.lit("none")), LABELS, stages=3, encoder=encoder, seed=5)
+    assert stored.iterations == stats.iterations and stored.objectives == pytest.approx(stats.objectives, rel=1e-9)
+    assert again.model.coefficients == pytest.approx(model.model.coefficients, abs=1e-9)
