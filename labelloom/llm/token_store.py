@@ -42,6 +42,9 @@ SCHEMA = "doc_id bigint, shard int, shard_start bigint, n_tokens bigint, ids arr
 # are marked by a zero character.
 _CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 _WHOLE = re.compile(r"\0?[!-~\w](?:[!-~\w\n]*[!-~\w])?")
+# What byte-level vocabularies call the bytes of the letters above ASCII.
+_BYTE_NAMES = {b: chr(b) if 161 <= b <= 172 or b >= 174 else chr(256 + 33 + (b - 127 if b < 161 else 34)) for b in range(128, 256)}
+_MARKS = frozenset(".,;:!?")
 # Parts that a Python worker remembers, in each of two generations.
 _CACHE_PARTS = 250_000
 
@@ -63,6 +66,9 @@ class Encoder:
         words = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(words.values(), default=0) + 1, bool)
         self.opens[[i for w, i in words.items() if w[:1] in "ĠĊ"]] = True
+        self.coded = [int(i).to_bytes(4, "little") for i in range(len(self.opens))]
+        # A space and letters up to U+024F are one piece, which goes to the model as it is.
+        self.direct = self.by_parts and self.tokenizer.normalizer is None and all(c in words for c in _BYTE_NAMES.values())
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
@@ -82,11 +88,18 @@ class Encoder:
             data, cuts = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
             self.known.update((p, data[a:b]) for p, a, b in zip(some, cuts, cuts[1:], strict=False))
 
+    def _learn_words(self, words: list[str]) -> None:
+        """Ids of words of letters up to U+024F after a space, without the rest of the tokenizer's work."""
+        tokenize, coded, known = self.tokenizer.model.tokenize, self.coded, self.known
+        for w in words:
+            named = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_NAMES)
+            known[w] = b"".join([coded[t.id] for t in tokenize("Ġ" + named)])
+
     def _tail(self, part: str) -> bytes | None:
         """Ids of a known word with a mark after it, which is a piece of its own."""
         word, mark = part[:-1], part[-1]
         ids = self.known.get(word) or self.old.get(word)
-        if mark not in ".,;:!?" or ids is None or not word.isalpha() or max(word) > "\u024f":
+        if mark not in _MARKS or ids is None or not word.isalpha() or not (word.isascii() or max(word) <= "\u024f"):
             return None
         if mark not in self.marks:
             self.marks[mark] = self.ids(mark).tobytes()
@@ -97,26 +110,25 @@ class Encoder:
         first, *parts = _CUT.split(text)
         return self.ids(first).tobytes() + b"".join([self.ids(" " + p).tobytes() for p in parts])
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, without an end id."""
-        if not self.by_parts:
-            return [self.ids(t or "").tobytes() for t in texts]
+    def _look_up(self, parts: list[str]) -> list[bytes | None]:
+        """Ids of distinct parts, learned where they are not known; none for odd parts, which have no ids of their own."""
         if len(self.known) > _CACHE_PARTS:
             self.old, self.known = self.known, {}
-        heads, cut = [], []
-        for t in texts:
-            head, space, rest = (t or "").replace("\n", " \0").partition(" ")
-            heads.append(head)
-            cut.append(rest.split(" ") if space else [])
-        new = set().union(*cut).difference(self.known)
-        for p in [p for p in new if p in self.old]:
-            self.known[p] = self.old[p]
-            new.discard(p)
-        odd = {p for p in new if not _WHOLE.fullmatch(p) or "\n" in p}
-        tails = []
-        plain = []
-        for p in new - odd:
-            (tails if p[-1] in ".,;:!?" and p[:-1].isalpha() else plain).append(p)
+        known, old = self.known, self.old
+        found = [*map(known.get, parts)]
+        places = [i for i, ids in enumerate(found) if ids is None]
+        new = [parts[i] for i in places]
+        words, plain, tails = [], [], []
+        for p, ids in zip(new, map(old.get, new), strict=True):
+            if ids is not None:
+                known[p] = ids
+            elif p.isalpha() and self.direct and (p.isascii() or max(p) <= "\u024f"):
+                words.append(p)
+            elif p[-1:] in _MARKS and p[:-1].isalpha():
+                tails.append(p)
+            elif _WHOLE.fullmatch(p) and "\n" not in p:
+                plain.append(p)
+        self._learn_words(words)
         self._learn(plain)
         left = []
         for p in tails:
@@ -124,21 +136,47 @@ class Encoder:
             if ids is None:
                 left.append(p)
             else:
-                self.known[p] = ids
+                known[p] = ids
         self._learn(left)
-        # Odd parts have no ids of their own: joining fails on them, and the text is encoded by itself.
-        self.known.update(dict.fromkeys(odd))
-        get, out = self.known.__getitem__, []
-        for text, head, parts in zip(texts, heads, cut, strict=True):
-            if (text and "\0" in text) or (parts and not _WHOLE.fullmatch(head)):
-                out.append(self._uneven(text or ""))
-                continue
-            try:
-                out.append(self.ids(head).tobytes() + b"".join(map(get, parts)))
-            except TypeError:
-                out.append(self._uneven(text))
-        for p in odd:
-            del self.known[p]
+        for i, p in zip(places, new, strict=True):
+            found[i] = known.get(p)
+        return found
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, without an end id."""
+        return self.encode_column(pa.array(texts, pa.string()))
+
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """Like :meth:`encode`, for a column. Parts are cut, told apart and put together by Arrow; only distinct ones are looked at one by one."""
+        if not self.by_parts:
+            return [self.ids(t or "").tobytes() for t in texts.to_pylist()]
+        if not len(texts):
+            return []
+        texts = texts.fill_null("")
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \0"), " ")
+        first = cut.offsets.to_numpy().astype(np.int64)
+        first -= first[0]
+        # A text's first part has no space before it and is encoded by itself.
+        heads = cut.flatten().take(pa.array(first[:-1])).to_pylist()
+        later = np.ones(first[-1], bool)
+        later[first[:-1]] = False
+        coded = cut.flatten().filter(pa.array(later)).dictionary_encode()
+        found = self._look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        odd = np.array([x is None for x in found], bool)
+        which = coded.indices.to_numpy()
+        joined = pa.array(found, pa.large_binary()).fill_null(b"").take(coded.indices)
+        ends = np.frombuffer(joined.buffers()[1], np.int64) if len(joined) else np.zeros(1, np.int64)
+        data = memoryview(joined.buffers()[2] or b"") if len(joined) else memoryview(b"")
+        parts = first - np.arange(len(first))  # of each text begin here, its head left out
+        uneven = pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)
+        if odd.any():
+            uneven[np.searchsorted(parts, np.flatnonzero(odd[which]), "right") - 1] = True
+        out = []
+        for i, (head, a, z) in enumerate(zip(heads, parts.tolist(), parts[1:].tolist(), strict=False)):
+            if uneven[i] or (z > a and not _WHOLE.fullmatch(head)):
+                out.append(self._uneven(texts[i].as_py()))
+            else:
+                out.append(b"".join((self.ids(head).tobytes(), data[ends[a] : ends[z]])))
         return out
 
 
@@ -166,7 +204,7 @@ def encode_shards(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", te
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 part = batch.slice(at, 250)
-                ids = [x + end for x in encoder.encode(part.column(1).to_pylist())]
+                ids = [x + end for x in encoder.encode_column(part.column(1))]
                 counts = np.array([len(x) // 4 for x in ids], np.int64)
                 offsets = np.concatenate(([0], np.cumsum(counts)))
                 values = np.frombuffer(b"".join(ids), np.int32)

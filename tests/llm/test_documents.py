@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -327,3 +328,21 @@ def test_remembered_parts_overflow(monkeypatch):
         ]
         forgotten += bool(before - set(encoder.old) - set(encoder.known))
     assert forgotten > 3
+
+
+def test_plain_words_go_straight_to_the_model(monkeypatch):
+    """Words of letters are not encoded as texts, and a column's texts get the ids of whole texts."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(queries.tokenizer_file())
+    encoder = token_store.Encoder(queries.tokenizer_file())
+    texts = [None, "", "a", " lead", "Éa naïveté çà Ǆungla ŉone ɏ ɐ ª", "x\0y z", "one  two", "two \n", "3rd don't stop. e-mail! İstanbul ﬁne 語 ß", "\nend it", "a <|endoftext|> b", "line\nline two"]
+    column = pa.array(["left out", *texts])[1:]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_column(column)] == [
+        plain.encode(t or "", add_special_tokens=False).ids for t in texts
+    ]
+    assert encoder.encode_column(pa.array([], pa.string())) == []
+    sent = []
+    monkeypatch.setattr(encoder, "_learn", lambda parts: sent.extend(parts))
+    encoder.encode(["The quick brown fox", "été naïve words"])
+    assert not sent
