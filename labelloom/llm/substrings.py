@@ -325,10 +325,14 @@ class Plan:
 def _plan(kind: Kind, table: pa.Table, flags: np.ndarray) -> Plan:
     s = kind.read(table)
     found = segments(s, kind.size, kind.gram, True)
-    keys = np.unique(found.key)
-    if len(flags) != len(keys):
+    # One sort gives each segment the number of its key, and so its flag.
+    order = np.argsort(found.key, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = np.diff(found.key[order]) != 0
+    if len(flags) != np.count_nonzero(new):
         raise ValueError("a chunk's keys differ between two looks at it")
-    flag = flags[np.searchsorted(keys, found.key)] if len(keys) else np.zeros(0, np.uint8)
+    flag = np.zeros(len(order), np.uint8)
+    flag[order] = flags[np.cumsum(new) - 1]
     plain, hot = found.take(flag == 1), found.take(flag == 2)
     if len(hot.start):
         owner = np.repeat(np.arange(len(hot.start)), hot.count)
