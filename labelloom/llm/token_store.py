@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import cores, parts_for, text_bytes
-from labelloom.session import new_run_dir
+from labelloom.session import arrow_batches, new_run_dir, store_table
 
 #: Text that goes into one ORC file, in bytes.
 FILE_BYTES = 48 << 20
+#: Text or ids that a Python worker gets at once, in bytes; a longer document comes alone.
+BATCH_BYTES = 8 << 20
 ORC_OPTIONS = {
     "compression": "zstd",
     "orc.stripe.size": str(16 << 20),
@@ -225,7 +227,8 @@ def encode_shards(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", te
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, **columns: str) -> None:
     """Encode ``docs`` and write the ORC files below ``path``."""
-    encode_shards(docs, tokenizer, end_id=end_id, **columns).write.options(**ORC_OPTIONS).orc(path)
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        encode_shards(docs, tokenizer, end_id=end_id, **columns).write.options(**ORC_OPTIONS).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -254,7 +257,7 @@ def find_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFr
 
 
 def checksums(tokens: DataFrame) -> DataFrame:
-    """``doc_id``, ``start``, ``n_tokens`` and the unsigned crc32 of the ids as little-endian 32-bit integers."""
+    """``doc_id``, ``start``, ``n_tokens`` and the unsigned crc32 of the ids as little-endian 32-bit integers, stored."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
@@ -267,7 +270,8 @@ def checksums(tokens: DataFrame) -> DataFrame:
                 names=["doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
-    return tokens.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    with arrow_batches(tokens.sparkSession, BATCH_BYTES):
+        return store_table(tokens.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"))
 
 
 def token_store(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 0) -> DataFrame:

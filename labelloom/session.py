@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +68,25 @@ def store_table(df: DataFrame, path: str | None = None, *partition_by: str) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, n_bytes: int) -> Iterator[None]:
+    """Within, actions send Python batches of about ``n_bytes``, one row at least, in place of 64 MB.
+
+    A batch is held by the executor, whose buffers are doubled and copied as they fill, and by the
+    Python worker, for every core. The setting is read when a plan runs, so the action must be within.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(n_bytes))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def small_side(df: DataFrame) -> DataFrame:
     """``df`` stored, for the lookup side of a join: Spark knows its bytes, and broadcasts or shuffles by them."""
     return store_table(df)

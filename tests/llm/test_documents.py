@@ -4,6 +4,7 @@ import collections
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -301,6 +302,37 @@ def test_tokens(spark, tmp_path):
     assert token_store.token_store(docs_table(spark, []), path).count() == 0
 
 
+def test_token_batches(spark, tmp_path, monkeypatch):
+    """Texts go to the encoder, and ids to the checksums, by bytes and not by 10,000 rows; the session's own setting comes back."""
+    monkeypatch.setattr(token_store, "BATCH_BYTES", 100_000, raising=False)
+    key, counted = "spark.sql.execution.arrow.maxBytesPerBatch", token_store.pc.list_value_length
+
+    class Ones:
+        def encode_column(self, texts):
+            if len(texts) > 130:
+                raise ValueError(f"{len(texts)} texts of 1,000 bytes at once")
+            return [np.ones(500, np.uint32).tobytes()] * len(texts)
+
+    def lengths(ids):
+        if len(ids) > 70:
+            raise ValueError(f"{len(ids)} rows of 501 ids at once")
+        return counted(ids)
+
+    monkeypatch.setattr(token_store, "_encoder", lambda path: Ones())
+    monkeypatch.setattr(token_store, "pc", SimpleNamespace(list_flatten=token_store.pc.list_flatten, list_value_length=lengths))
+    for own in (None, "50m"):
+        if own:
+            spark.conf.set(key, own)
+        try:
+            docs = docs_table(spark, [(i, "x" * 1000) for i in range(8000)])
+            out = token_store.checksums(token_store.token_store(docs, "", f"file://{tmp_path}/tokens-{own}"))
+            assert spark.conf.get(key, None) == own
+        finally:
+            spark.conf.unset(key)
+        crc = zlib.crc32(np.array([1] * 500 + [0], "<u4").tobytes())
+        assert sorted(map(tuple, out.collect())) == [(i, 501 * i, 501, crc) for i in range(8000)]
+
+
 def test_orc_metadata(spark, sf_dir, tmp_path):
     from pyarrow import fs, orc
 
