@@ -1,12 +1,20 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from labelloom.operators import classify as C
 from labelloom.operators import metrics as M
+from labelloom.session import shared_dir
 
 LABELS = ["fruit", "tool", "unused"]
 
 
+def tables(spark):
+    """Tables that functions of the library have left in the shared folder."""
+    return [f for f in os.listdir(shared_dir(spark).removeprefix("file:")) if f.startswith("table-")]
+
+
 @pytest.fixture(scope="module")
 def rows(spark):
     """Two separable classes, one row in eleven mislabelled whatever its text."""
@@ -122,3 +130,32 @@ def test_stored_variants_train_as_texts_do(spark):
     again, stored = C.train_robust(ready.withColumn("text", F.lit("none")), LABELS, stages=3, encoder=encoder, seed=5)
     assert stored.iterations == stats.iterations and stored.objectives == pytest.approx(stats.objectives, rel=1e-9)
     assert again.model.coefficients == pytest.approx(model.model.coefficients, abs=1e-9)
+
+
+def test_training_sends_small_batches_and_keeps_no_rows_in_memory(spark, rows, monkeypatch):
+    """What an executor holds must not grow with the table: no cached rows, batches of 8 MB, blocks only while they are fitted."""
+    seen, fit_soft = [], C.fit_soft
+
+    def fit(*args, **options):
+        cached = spark.sparkContext._jsc.getPersistentRDDs().size()
+        seen.append((cached, int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))))
+        return fit_soft(*args, **options)
+
+    spark.catalog.clearCache()
+    before, kept = spark.sparkContext._jsc.getPersistentRDDs().size(), set(tables(spark))
+    monkeypatch.setattr(C, "fit_soft", fit)
+    default = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    _, stats = C.train_robust(rows.drop("truth"), LABELS, stages=2)
+    assert len(seen) == 2 and all(cached == before and size <= 8 << 20 for cached, size in seen)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == default
+    # The losses of both stages stay.
+    assert len(set(tables(spark)) - kept) == 2 and stats.losses.count() == 480
+
+
+def test_features_of_ones_own_are_not_scaled_again(rows):
+    encoder = C.text_encoder(64)
+    own = C.encode(rows.drop("truth"), encoder)
+    from_text, a = C.train_robust(rows.drop("truth"), LABELS, stages=2, encoder=encoder)
+    from_features, b = C.train_robust(own, LABELS, stages=2, encoder=encoder)
+    assert b.objectives == pytest.approx(a.objectives, rel=1e-9)
+    assert from_features.model.coefficients == pytest.approx(from_text.model.coefficients, abs=1e-9)
