@@ -3,18 +3,13 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from labelloom import session
 from labelloom.operators import classify as C
 from labelloom.operators import metrics as M
-from labelloom.session import shared_dir
 
 LABELS = ["fruit", "tool", "unused"]
 
 
-def tables(spark):
-    """Tables that functions of the library have left in the shared folder."""
-    return [f for f in os.listdir(shared_dir(spark).removeprefix("file:")) if f.startswith("table-")]
-
-
 @pytest.fixture(scope="module")
 def rows(spark):
     """Two separable classes, one row in eleven mislabelled whatever its text."""
@@ -132,7 +127,7 @@ def test_stored_variants_train_as_texts_do(spark):
     assert again.model.coefficients == pytest.approx(model.model.coefficients, abs=1e-9)
 
 
-def test_training_sends_small_batches_and_keeps_no_rows_in_memory(spark, rows, monkeypatch):
+def test_training_sends_small_batches_and_keeps_no_rows_in_memory(spark, rows, monkeypatch, tmp_path):
     """What an executor holds must not grow with the table: no cached rows, batches of 8 MB, blocks only while they are fitted."""
     seen, fit_soft = [], C.fit_soft
 
@@ -142,14 +137,15 @@ def test_training_sends_small_batches_and_keeps_no_rows_in_memory(spark, rows, m
         return fit_soft(*args, **options)
 
     spark.catalog.clearCache()
-    before, kept = spark.sparkContext._jsc.getPersistentRDDs().size(), set(tables(spark))
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
     monkeypatch.setattr(C, "fit_soft", fit)
+    monkeypatch.setattr(session, "shared_dir", lambda spark: f"file:{tmp_path}")  # other sessions may use the usual one
     default = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
     _, stats = C.train_robust(rows.drop("truth"), LABELS, stages=2)
     assert len(seen) == 2 and all(cached == before and size <= 8 << 20 for cached, size in seen)
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == default
     # The losses of both stages stay.
-    assert len(set(tables(spark)) - kept) == 2 and stats.losses.count() == 480
+    assert len([f for f in os.listdir(tmp_path) if f.startswith("table-")]) == 2 and stats.losses.count() == 480
 
 
 def test_features_of_ones_own_are_not_scaled_again(rows):
